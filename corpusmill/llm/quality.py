@@ -6,9 +6,9 @@ One weight vector w over hashed text features and K-1 ordered thresholds b_1 < b
 
 The thresholds are parametrised as b_1 and positive increments exp(d_k), so they stay ordered while training.
 
-Features of a text: its distinct white-space words, their shapes (letter case and punctuation pattern, runs squeezed)
-and the share of words equal to the one before, each hashed into 2**bits buckets; presence is scaled by 1/sqrt(number
-of distinct buckets). The whole text is read.
+Features of a text, hashed into 2**bits buckets, in three families of fixed norm, so that a long text dilutes none: its
+distinct white-space words by presence; the shapes of all its words (letter case and punctuation pattern, runs squeezed)
+by the square root of their share; and a step of the share of words equal to the one before. The whole text is read.
 
 Defined cases: null, empty or blank text has only the bias bucket, and is scored like any text; null grades and null
 ids in the ratings are ignored; several grades for one document all count; with no usable rating every document scores
@@ -18,6 +18,7 @@ input pass through ``select_quality`` unchanged, and a column that has the name
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -31,6 +32,8 @@ from .common import Memo, h64, table
 
 BITS = 18
 MAX_RATED = 8000
+# norms of the families: words are many, and would learn single texts by heart before the shapes are learned
+OF_WORDS, OF_SHAPES, OF_REPEATS = 0.3, 2.0, 2.0
 _BIAS = 0
 
 
@@ -57,7 +60,7 @@ def word_buckets(word: str, bits: int = BITS) -> tuple[int, int]:
 
 
 def make_featurizer(bits: int = BITS):
-    """text -> sorted distinct bucket ids."""
+    """text -> float32 array of two rows: distinct bucket ids, and their values."""
     mask = (1 << bits) - 1
     memo = Memo(lambda w: word_buckets(w, bits))
     rep = [h64(f"r:{k}") & mask for k in range(6)]
@@ -66,12 +69,18 @@ def make_featurizer(bits: int = BITS):
         words = text.split() if text else []
         n = len(words)
         if not n:
-            return np.array([_BIAS], dtype=np.int64)
-        distinct = list(set(words))
-        flat = np.fromiter((x for w in map(memo.__getitem__, distinct) for x in w), dtype=np.int64, count=2 * len(distinct))
+            return np.array([[_BIAS], [1.0]], dtype=np.float32)
+        counts = Counter(words)
+        pairs = np.array([memo[w] for w in counts], dtype=np.int64)
+        times = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
+        of_word = np.unique(pairs[:, 0])
+        of_shape, inverse = np.unique(pairs[:, 1], return_inverse=True)
+        share = np.sqrt(np.bincount(inverse, times) / n)
         r = sum(map(eq, words, words[1:])) / n
-        extra = [_BIAS, rep[min(5, int(r * 20))]]
-        return np.unique(np.concatenate([flat, np.array(extra, dtype=np.int64)]))
+        ids = np.concatenate([of_word, of_shape, [_BIAS, rep[min(5, int(r * 20))]]])
+        values = np.concatenate([np.full(len(of_word), OF_WORDS / np.sqrt(len(of_word))), OF_SHAPES * share, [1.0, OF_REPEATS]])
+        u, inverse = np.unique(ids, return_inverse=True)
+        return np.stack([u, np.bincount(inverse, values)]).astype(np.float32)
 
     return features
 
@@ -88,10 +97,9 @@ class OrdinalModel:
     def latent(self, rows: list[np.ndarray]) -> np.ndarray:
         if not rows:
             return np.zeros(0)
-        sizes = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
-        flat = np.concatenate(rows)
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        return np.add.reduceat(self.weights[flat], starts) / np.sqrt(sizes)
+        flat = np.concatenate(rows, axis=1)
+        starts = np.concatenate([[0], np.cumsum([r.shape[1] for r in rows])[:-1]])
+        return np.add.reduceat(self.weights[flat[0].astype(np.int64)] * flat[1], starts)
 
     def tails(self, z: np.ndarray) -> np.ndarray:
         """P(grade >= grades[k]) for k = 1.., one row per text."""
@@ -123,16 +131,15 @@ def fit_ordinal(rows: list[np.ndarray], grades, bits: int = BITS, epochs: int =
     first, inc = b[0], np.log(np.maximum(np.diff(b), 1e-3))
     gw, gb, gi = np.full(1 << bits, 1e-8), 1e-8, np.full(k1 - 1, 1e-8)
     rng = np.random.default_rng(seed)
-    sizes = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
+    sizes = np.array([r.shape[1] for r in rows], dtype=np.int64)
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for at in range(0, len(rows), batch):
             pick = order[at : at + batch]
-            flat = np.concatenate([rows[i] for i in pick])
-            n = sizes[pick]
+            flat, x = np.concatenate([rows[i] for i in pick], axis=1)
+            flat, n = flat.astype(np.int64), sizes[pick]
             starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-            scale = 1 / np.sqrt(n)
-            z = np.add.reduceat(w[flat], starts) * scale
+            z = np.add.reduceat(w[flat] * x, starts)
             bs = np.concatenate([[-np.inf], first + np.concatenate([[0.0], np.cumsum(np.exp(inc))]), [np.inf]])
             lo, hi = bs[y[pick]], bs[y[pick] + 1]
             s_lo = np.where(np.isinf(lo), 1.0, _sigmoid(z - lo))
@@ -140,8 +147,7 @@ def fit_ordinal(rows: list[np.ndarray], grades, bits: int = BITS, epochs: int =
             p = np.maximum(s_lo - s_hi, 1e-9)
             dlo = np.where(np.isinf(lo), 0.0, s_lo * (1 - s_lo)) / p
             dhi = np.where(np.isinf(hi), 0.0, s_hi * (1 - s_hi)) / p
-            g = -(dlo - dhi) * scale
-            per = np.repeat(g, n)
+            per = np.repeat(-(dlo - dhi), n) * x
             u, inv = np.unique(flat, return_inverse=True)
             gu = np.bincount(inv, per, len(u)) + l2 * len(pick) * w[u]
             gw[u] += gu * gu
@@ -160,8 +166,8 @@ def fit_ordinal(rows: list[np.ndarray], grades, bits: int = BITS, epochs: int =
     return OrdinalModel(w, first + np.concatenate([[0.0], np.cumsum(np.exp(inc))]), [float(x) for x in levels], bits)
 
 
-def rated_sample(docs: DataFrame, ratings: DataFrame, grade: str, max_rated: int, make=make_featurizer) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and grades of at most ``max_rated`` rated documents, those lowest by a hash of the id.
+def rated_sample(docs: DataFrame, ratings: DataFrame, grade: str, max_rated: int, make=make_featurizer) -> tuple[list[bytes], np.ndarray]:
+    """Features, as the bytes of what ``make()`` gives, and grades of at most ``max_rated`` rated documents, those lowest by a hash of the id.
 
     The chosen ids are bounded by the parameter, hence broadcast; texts become bucket ids on the executors.
     """
@@ -177,17 +183,17 @@ def rated_sample(docs: DataFrame, ratings: DataFrame, grade: str, max_rated: int
     def extract(batches):
         features = make()
         for b in batches:
-            yield pd.DataFrame({"id": b["__id"], "grade": b["__grade"], "x": [features(t).astype(np.int32).tobytes() for t in b["__text"]]})
+            yield pd.DataFrame({"id": b["__id"], "grade": b["__grade"], "x": [features(t).tobytes() for t in b["__text"]]})
 
     got = rows.mapInPandas(extract, "id long, grade double, x binary").toPandas()
     got = got.sort_values(["id", "grade"], kind="stable").reset_index(drop=True)
-    return [np.frombuffer(x, dtype=np.int32).astype(np.int64) for x in got["x"]], got["grade"].to_numpy()
+    return list(got["x"]), got["grade"].to_numpy()
 
 
 def train_quality(docs: DataFrame, ratings: DataFrame, grade: str = "grade", max_rated: int = MAX_RATED) -> OrdinalModel:
     """Fit on at most ``max_rated`` rated documents, whatever the size of the corpus."""
     rows, y = rated_sample(docs, ratings, grade, max_rated)
-    return fit_ordinal(rows, y)
+    return fit_ordinal([np.frombuffer(x, dtype=np.float32).reshape(2, -1) for x in rows], y)
 
 
 def _apply(docs: DataFrame, model: OrdinalModel):
