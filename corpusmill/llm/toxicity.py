@@ -4,7 +4,8 @@
 
 The pairwise part learns that two terms are toxic together (an insult with the mention of a group) though neither is by
 itself, which a linear model can't. Terms are the distinct lower-cased words of the whole text without outer punctuation,
-and their first four and five letters (inflected forms share a stem), hashed into 2**bits buckets; x is presence.
+and their first letters (inflected forms share a stem) with how many different words have them, up to LEVELS: one form of
+a stem may be harmless where three aren't. Terms are hashed into 2**bits buckets; x is presence.
 
 Only buckets whose document frequency differs between the classes by more than chance (chi-square above ``chi2``, in
 ``support`` rated texts at least) take part; all others are frozen at zero, so that a long clean text does not gather
@@ -31,10 +32,13 @@ from .quality import _sigmoid, rated_sample
 BITS = 20
 FACTORS = 8
 MAX_LABELLED = 12000
+STEMS = (4, 5, 6)
+LEVELS = 3
+THRESHOLD = 0.4
 
 
-def word_terms(word: str, bits: int = BITS) -> tuple[int, ...]:
-    """Buckets of one word: itself and its stems; none for bare punctuation."""
+def word_terms(word: str, bits: int = BITS) -> tuple[int, tuple[int, ...]]:
+    """(bucket of the word, those of its stems); (-1, ()) for bare punctuation."""
     w = word.lower()
     i, j = 0, len(w)
     while i < j and not w[i].isalnum():
@@ -43,14 +47,14 @@ def word_terms(word: str, bits: int = BITS) -> tuple[int, ...]:
         j -= 1
     w = w[i:j]
     if not w:
-        return ()
+        return -1, ()
     mask = (1 << bits) - 1
-    out = [h64("w:" + w) & mask]
-    if len(w) > 4:
-        out.append(h64("4:" + w[:4]) & mask)
-    if len(w) > 5:
-        out.append(h64("5:" + w[:5]) & mask)
-    return tuple(out)
+    return h64("w:" + w) & mask, tuple(h64(f"{n}:{w[:n]}") & mask for n in STEMS if len(w) >= n)
+
+
+def level(stem: int, k: int, bits: int = BITS) -> int:
+    """Bucket of a stem that k different words share."""
+    return (stem + k * 0x9E3779B1) & ((1 << bits) - 1)
 
 
 def make_terms(bits: int = BITS, keep: np.ndarray | None = None):
@@ -58,17 +62,29 @@ def make_terms(bits: int = BITS, keep: np.ndarray | None = None):
     place = None if keep is None else {int(b): i for i, b in enumerate(keep)}
 
     def buckets(word):
-        t = word_terms(word, bits)
-        return t if place is None else tuple(place[b] for b in t if b in place)
+        w, stems = word_terms(word, bits)
+        if place is None:
+            return ((w,) if w >= 0 else ()), stems
+        return ((place[w],) if w in place else ()), tuple(s for s in stems if any(level(s, k, bits) in place for k in range(1, LEVELS + 1)))
 
     memo = Memo(buckets)
 
     def terms(text: str | None) -> np.ndarray:
         out: set[int] = set()
-        for t in map(memo.__getitem__, set(text.split()) if text else ()):
-            if t:
-                out.update(t)
-        return np.array(sorted(out), dtype=np.int64)
+        forms: dict[int, set] = {}
+        for word in set(text.split()) if text else ():
+            own, stems = memo[word]
+            out.update(own)
+            for s in stems:
+                forms.setdefault(s, set()).add(own or word.lower())
+        for s, f in forms.items():
+            for k in range(1, min(len(f), LEVELS) + 1):
+                b = level(s, k, bits)
+                if place is None:
+                    out.add(b)
+                elif b in place:
+                    out.add(place[b])
+        return np.array(sorted(out), dtype=np.int32)
 
     return terms
 
@@ -101,7 +117,7 @@ class FactorizationMachine:
         return _sigmoid(self.raw(rows))
 
 
-def screen(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS, chi2: float = 16.0, support: int = 3) -> np.ndarray:
+def screen(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS, chi2: float = 24.0, support: int = 3) -> np.ndarray:
     """Buckets with a significant difference in document frequency between the classes."""
     size = 1 << bits
     n1, n0 = float((y > 0).sum()), float((y <= 0).sum())
@@ -115,7 +131,7 @@ def screen(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS, chi2: float
     return np.flatnonzero((stat >= chi2) & (a + b >= support))
 
 
-def fit_fm(rows: list[np.ndarray], y: np.ndarray, keep: np.ndarray, bits: int = BITS, factors: int = FACTORS, epochs: int = 40, rate: float = 0.1, l2: float = 1e-4, l2v: float = 1e-3, seed: int = 11, batch: int = 64) -> FactorizationMachine:
+def fit_fm(rows: list[np.ndarray], y: np.ndarray, keep: np.ndarray, bits: int = BITS, factors: int = FACTORS, epochs: int = 100, rate: float = 0.3, l2: float = 1e-6, l2v: float = 1e-2, seed: int = 11, batch: int = 64) -> FactorizationMachine:
     """Logistic loss by AdaGrad; rows hold bucket ids, of which only those in ``keep`` are used."""
     m = len(keep)
     rng = np.random.default_rng(seed)
@@ -162,6 +178,7 @@ def fit_fm(rows: list[np.ndarray], y: np.ndarray, keep: np.ndarray, bits: int =
 def train_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> FactorizationMachine:
     """Fit on at most ``max_labelled`` labelled documents, those lowest by a hash of the id."""
     rows, y = rated_sample(docs, labels, "toxic", max_labelled, make_terms)
+    rows = [np.frombuffer(x, dtype=np.int32) for x in rows]
     keep = screen(rows, y) if len(rows) else np.zeros(0, dtype=np.int64)
     return fit_fm(rows, y, keep)
 
@@ -180,12 +197,12 @@ def _apply(docs: DataFrame, model: FactorizationMachine):
     return udf
 
 
-def score_toxicity(docs: DataFrame, model: FactorizationMachine, threshold: float = 0.5) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: FactorizationMachine, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, p_toxic and toxic (p_toxic >= threshold), one row per input row."""
     return docs.select("doc_id", _apply(docs, model)(F.col("text")).alias("p_toxic")).withColumn("toxic", F.col("p_toxic") >= F.lit(threshold))
 
 
-def select_clean(docs: DataFrame, model: FactorizationMachine, threshold: float = 0.5) -> DataFrame:
+def select_clean(docs: DataFrame, model: FactorizationMachine, threshold: float = THRESHOLD) -> DataFrame:
     """The input rows, all columns as they are, with P(toxic) below ``threshold``."""
     return docs.where(_apply(docs, model)(F.col("text")) < F.lit(threshold))
 
