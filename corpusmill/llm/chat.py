@@ -33,7 +33,8 @@ _WORDS = {"user": "user", "human": "user", "q": "user", "question": "user", "cus
 _MARK = re.compile(r"^\s*(?:<\|?\s*(?P<tag>[A-Za-z]+)\s*\|?>|\[(?P<box>[A-Za-z]+)\]|#{2,}\s*(?P<hash>[A-Za-z]+)\s*:?|\**(?P<word>[A-Za-z]+)\**\s*[:>]\**)[ \t]*")
 _OTHER = re.compile(r"^\s*\S{1,24}:\s")
 # (name, number of symbols) of the features of a line
-FEATURES = (("marker", 5), ("blank_before", 2), ("first", 2), ("question", 2), ("length", 4), ("lead", 4))
+# the marker together with whether a blank line comes before: a turn without a marker begins behind one
+FEATURES = (("marker", 10), ("first", 2), ("question", 2), ("length", 4), ("lead", 4))
 
 
 def marker(line: str) -> tuple[int, int]:
@@ -53,7 +54,7 @@ def observe(lines: list[str]) -> np.ndarray:
         text = line.strip()
         n = len(text)
         lead = 0 if not text else 1 if text[0].isupper() else 2 if text[0] in "-*#>|`0123456789" else 3
-        out[i] = (marker(line)[0], int(i > 0 and not lines[i - 1].strip()), int(i == 0), int(text.endswith("?")), 0 if n == 0 else 1 if n < 60 else 2 if n < 240 else 3, lead)
+        out[i] = (2 * marker(line)[0] + int(i > 0 and not lines[i - 1].strip()), int(i == 0), int(text.endswith("?")), 0 if n == 0 else 1 if n < 60 else 2 if n < 240 else 3, lead)
     return out
 
 
