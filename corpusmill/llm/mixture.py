@@ -152,7 +152,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
 
     def pack(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({c.split()[0]: [] for c in _SCHEMA.split(", ")})
+            return pd.DataFrame({c.split()[0]: [] for c in _SCHEMA.split(", ")}, dtype=object)
         source, g = right["source"].iloc[0], int(right["g"].iloc[0])
         source = None if source is None or source != source else source
         order = sorted(range(len(left)), key=lambda i: (not pd.isna(left["doc_id"].iat[i]), 0 if pd.isna(left["doc_id"].iat[i]) else left["doc_id"].iat[i], left["text"].iat[i] or ""))
