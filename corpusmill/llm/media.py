@@ -4,8 +4,8 @@ The RIFF tree of an AVI is walked for the header (frame rate) and the index: ``i
 the start of the file, or the OpenDML ``ix##`` chunks, or, where neither is sound, the chunks of ``movi`` in order. Every
 frame is an intra frame: a baseline JPEG (grey or colour, any sampling, restart markers, default Huffman tables where the
 file leaves them out), of which the luma plane is decoded. Consecutive luma histograms are compared by the earth mover's
-distance, as a share of the full range; a cut is where it reaches FLOOR and exceeds the median of its neighbourhood by
-SPREAD median deviations, so the bar follows the movement in the scene. Of cuts less than MIN_SHOT frames apart the
+distance, as a share of the full range; a cut is where it reaches FLOOR and exceeds the median of its neighbourhood
+by SPREAD median deviations and by its own height, so the bar follows the movement in the scene. Of cuts less than MIN_SHOT frames apart the
 strongest stays, the earlier on a tie.
 
 Rows: key, clip (0, 1, ..), first_frame, last_frame, start_s, end_s, n_frames, bad_frames, error.
@@ -293,7 +293,8 @@ def shot_starts(h: np.ndarray, floor: float = FLOOR, spread: float = SPREAD, win
             continue
         near = np.delete(d[max(0, t - window) : t + window + 1], min(t, window))
         middle = float(np.median(near)) if len(near) else 0.0
-        if d[t] < middle + spread * (float(np.median(np.abs(near - middle))) if len(near) else 0.0):
+        apart = float(np.median(np.abs(near - middle))) if len(near) else 0.0
+        if d[t] <= middle + max(middle, spread * apart):
             continue
         if cuts and t - cuts[-1] < min_shot:
             if d[t] > d[cuts[-1]]:
