@@ -19,7 +19,7 @@ _LAST = f"[^{SPACE}" + r"""«»‘’“”?<>.,"':;{}\[\]()!`]"""
 _URL = rf"(?:(?:https?|ftp)://|\x08(?:[a-z\p{{Nd}}]+\.))(?:(?:{_IN}+|{_PAREN})+(?:{_TAIL}|{_LAST}))?"
 TOKEN = rf"{_URL}|[{WORD}][{WORD}-]+[{WORD}]|[{WORD}]\.|[{WORD}]+|[^{WORD}{SPACE}]"
 PIECES = rf"[{SPACE}]+|{TOKEN}"
-LETTERS_OR_PUNCT = r"[A-Za-zА-Яа-я-]+|[^\p{L}\p{N}_" + SPACE + "]"
+LETTERS_OR_PUNCT = f"[-a-zA-Zа-яА-Я]+|[^{WORD}{SPACE}]"
 STOPWORDS = tuple(
     "a about above after again against all am an and any are as at be because been before being below between both but by "
     "can did do does doing don down during each few for from further had has have having he her here hers herself him "

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as T
 from corpusmill.operators import tokens as K
 
-LINE = "\rThis is usually how I do it.\tНо лучше не повторять.\n   Ciao."
+LINE = "\rThis is usually how I do it." "\tНо лучше не повторять." "\n   Ciao."
 
 
 def words(spark, text, pattern=T.TOKEN):
