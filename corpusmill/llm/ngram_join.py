@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, drop_ids, h64, materialize, mix, parallelism, table
+from .common import Memo, drop_ids, h64, materialize, mix, parallelism, small_enough, table
 from .components import connected_components
 
 N = 3
@@ -300,10 +300,10 @@ def _gather(mark: np.ndarray, values: np.ndarray, a: np.ndarray, z: np.ndarray)
 def _verify(t: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found = []
-        for _, g in pdf.groupby(["component", "i", "j"], sort=False):
-            if len(g) < 2:
+        for (_, i, j), g in pdf.groupby(["component", "i", "j"], sort=False):
+            if len(g) < 2 or i != j and g["side"].nunique() < 2:  # pairs within a block are found in its own cell
                 continue
-            g = g.sort_values("doc_id", kind="stable")
+            g = g.drop_duplicates(["doc_id", "sig"]).sort_values("doc_id", kind="stable")
             ids = g["doc_id"].to_numpy()
             toks = [np.frombuffer(x, "<u8") for x in g["tokens"]]
             dfs = [np.frombuffer(x, "<u4").astype(np.int64) for x in g["df"]]
@@ -334,19 +334,24 @@ def ngram_jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N
     links = posts.groupBy("key").applyInPandas(_links(threshold), "a long, b long")
     component = materialize(connected_components(links))
 
+    # who meets whom is settled on ids and signatures; token sets are joined once, to the cells
     sets = records.where("kind = 0").select("doc_id", "n", "sig", "tokens", "df")
-    member = materialize(sets.join(component, sets["doc_id"] == component["node"]).select("component", "doc_id", "n", "sig", "tokens", "df"))
-    low = member.groupBy("component", "sig").agg(F.min("doc_id").alias("low"))
-    copies = member.select("component", "sig", "doc_id").join(low, ["component", "sig"]).where("doc_id > low").select(F.col("low").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
+    member = materialize(sets.select("doc_id", "sig").join(component, sets["doc_id"] == component["node"]).select("component", "doc_id", "sig").distinct())
+    low = materialize(member.groupBy("component", "sig").agg(F.min("doc_id").alias("low")))
+    copies = member.join(low, ["component", "sig"]).where("doc_id > low").select(F.col("low").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
 
-    reps = member.join(low, ["component", "sig"], "left_semi").join(low.select(F.col("low").alias("doc_id"), "component", "sig"), ["component", "sig", "doc_id"], "left_semi").dropDuplicates(["component", "sig", "doc_id"])
     blocks_of = low.groupBy("component").agg(F.count("*").alias("k")).where("k > 1").select("component", F.ceil(F.col("k") / F.lit(cell)).cast("int").alias("nb"))
-    cells = (
-        reps.join(blocks_of, "component")
+    cells = materialize(
+        low.withColumnRenamed("low", "doc_id")
+        .join(blocks_of, "component")
         .withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select("component", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc_id", "n", "tokens", "df")
+        .select("component", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc_id", "sig")
     )
+    wanted = cells.select("doc_id").distinct()
+    if small_enough(wanted, 16):  # sets that meet no other aren't shuffled; beyond this size they are
+        sets = sets.join(F.broadcast(wanted), "doc_id", "left_semi")
+    cells = cells.join(sets, ["doc_id", "sig"])
     bin_ = F.when(F.col("i") + F.col("j") > 0, F.xxhash64("component", "i", "j")).otherwise(F.pmod(F.xxhash64("component"), F.lit(4 * width)))
     pairs = cells.groupBy(bin_.alias("bin")).applyInPandas(_verify(threshold), "a long, b long, jaccard double")
     pairs = pairs.where("a <> b").select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "jaccard")
