@@ -37,19 +37,21 @@ LEVELS = 3
 THRESHOLD = 0.4
 
 
-def word_terms(word: str, bits: int = BITS) -> tuple[int, tuple[int, ...]]:
-    """(bucket of the word, those of its stems); (-1, ()) for bare punctuation."""
+def bare(word: str) -> str:
+    """In lower case, without outer punctuation."""
     w = word.lower()
+    if w.isalnum():
+        return w
     i, j = 0, len(w)
     while i < j and not w[i].isalnum():
         i += 1
     while j > i and not w[j - 1].isalnum():
         j -= 1
-    w = w[i:j]
-    if not w:
-        return -1, ()
-    mask = (1 << bits) - 1
-    return h64("w:" + w) & mask, tuple(h64(f"{n}:{w[:n]}") & mask for n in STEMS if len(w) >= n)
+    return w[i:j]
+
+
+def stem_bucket(stem: str, bits: int = BITS) -> int:
+    return h64(f"{len(stem)}:{stem}") & ((1 << bits) - 1)
 
 
 def level(stem: int, k: int, bits: int = BITS) -> int:
@@ -59,24 +61,39 @@ def level(stem: int, k: int, bits: int = BITS) -> int:
 
 def make_terms(bits: int = BITS, keep: np.ndarray | None = None):
     """text -> sorted distinct buckets; with ``keep`` only those buckets, renumbered by their place in it."""
+    mask = (1 << bits) - 1
     place = None if keep is None else {int(b): i for i, b in enumerate(keep)}
 
+    def stem(s):
+        b = stem_bucket(s, bits)
+        return b if place is None or any(level(b, k, bits) in place for k in range(1, LEVELS + 1)) else -1
+
+    stem_of = Memo(stem, 300_000)
+
     def buckets(word):
-        w, stems = word_terms(word, bits)
-        if place is None:
-            return ((w,) if w >= 0 else ()), stems
-        return ((place[w],) if w in place else ()), tuple(s for s in stems if any(level(s, k, bits) in place for k in range(1, LEVELS + 1)))
+        """None for a word that has no bucket, nor a stem that has one."""
+        w = bare(word)
+        if not w:
+            return None
+        own = h64("w:" + w) & mask
+        own = own if place is None else place.get(own, -1)
+        stems = [s for n in STEMS if len(w) >= n and (s := stem_of[w[:n]]) >= 0]
+        return (w, own, stems) if own >= 0 or stems else None
 
-    memo = Memo(buckets)
+    memo = Memo(buckets, 300_000)
 
     def terms(text: str | None) -> np.ndarray:
         out: set[int] = set()
         forms: dict[int, set] = {}
         for word in set(text.split()) if text else ():
-            own, stems = memo[word]
-            out.update(own)
+            found = memo[word]
+            if found is None:
+                continue
+            w, own, stems = found
+            if own >= 0:
+                out.add(own)
             for s in stems:
-                forms.setdefault(s, set()).add(own or word.lower())
+                forms.setdefault(s, set()).add(w)
         for s, f in forms.items():
             for k in range(1, min(len(f), LEVELS) + 1):
                 b = level(s, k, bits)
