@@ -31,7 +31,8 @@ from .common import materialize, table
 
 K = 10
 CELL = 2048
-LEAF = 128
+LEAF = 512
+TREES = 64
 MAX_CELLS = 16384
 EPS = 1e-9
 
@@ -63,7 +64,8 @@ class CoverTree:
                 if len(rest):
                     c = rest[int(np.argmax(dist[~near]))]
             if len(nets) > most:  # the net doesn't compress at this scale (high dimension): split by nearest of a few centres
-                cs = np.array([c for c, _ in nets[:: max(1, len(nets) // 8)]][:8])
+                parts = max(2, min(8, -(-len(points) // leaf)))  # leaves that fill a matrix product
+                cs = np.array([c for c, _ in nets[:: max(1, len(nets) // parts)]][:parts])
                 to = (((self.x[points] ** 2).sum(axis=1)[:, None]) + (self.x[cs] ** 2).sum(axis=1) - 2 * self.x[points] @ self.x[cs].T).argmin(axis=1)
                 nets = [(c, points[to == i]) for i, c in enumerate(cs) if (to == i).any()]
                 if len(nets) < 2:
@@ -84,11 +86,15 @@ class TopK:
         self.d, self.i = np.full((n, k), np.inf), np.full((n, k), np.iinfo(np.int64).max)
 
     def offer(self, rows: np.ndarray, dist: np.ndarray, ids: np.ndarray) -> None:
-        """rows: query places; dist and ids: a row of candidates (inf: none) for each."""
+        """Candidates one by one: query place, distance and id of each."""
         k = self.d.shape[1]
-        d, i = np.concatenate([self.d[rows], dist], axis=1), np.concatenate([self.i[rows], ids], axis=1)
-        o = np.lexsort((i, d), axis=1)[:, :k]
-        self.d[rows], self.i[rows] = np.take_along_axis(d, o, 1), np.take_along_axis(i, o, 1)
+        used = np.unique(rows)
+        r = np.concatenate([np.repeat(used, k), rows])
+        d, i = np.concatenate([self.d[used].ravel(), dist]), np.concatenate([self.i[used].ravel(), ids])
+        o = np.lexsort((i, d, r))
+        first = np.searchsorted(r[o], used)
+        pick = o[first[:, None] + np.arange(k)]
+        self.d[used], self.i[used] = d[pick], i[pick]
 
 
 def dual_search(q: CoverTree, qid: np.ndarray, d: CoverTree, did: np.ndarray, best: TopK) -> int:
@@ -121,13 +127,9 @@ def dual_search(q: CoverTree, qid: np.ndarray, d: CoverTree, did: np.ndarray, be
             r, c = np.nonzero(ok)
             if not len(r):
                 continue
-            exact = np.full(ok.shape, np.inf)
-            for s in range(0, len(r), 100_000):
-                rr, cc = r[s : s + 100_000], c[s : s + 100_000]
-                exact[rr, cc] = np.sqrt(((x[rr] - y[cc]) ** 2).sum(axis=1))
-            used, some = np.unique(r), np.unique(c)
-            ids = np.where(ok[np.ix_(used, some)], did[cols[some]][None, :], np.iinfo(np.int64).max)
-            best.offer(rows[used], exact[np.ix_(used, some)], ids)
+            for at in range(0, len(r), 100_000):
+                rr, cc = r[at : at + 100_000], c[at : at + 100_000]
+                best.offer(rows[rr], np.sqrt(((x[rr] - y[cc]) ** 2).sum(axis=1)), did[cols[cc]])
     return done
 
 
@@ -192,19 +194,29 @@ def top_k(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k:
     own = indexed.select(F.col("cell").alias("q"), F.lit(float("-inf")).alias("low"), F.col("cell").alias("d"), "ids", "x", "bd", "bi")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = None
+        q, trees = None, {}
+
+        def indexed_cell(row):
+            """The tree of a data cell; those of the last TREES cells are kept."""
+            if row.d not in trees:
+                if len(trees) >= TREES:
+                    trees.pop(next(iter(trees)))
+                did = np.frombuffer(row.ids, "<i8")
+                trees[row.d] = did, CoverTree(np.frombuffer(row.x, "<f8").reshape(len(did), -1))
+            return trees[row.d]
+
         for b in batches:
             for row in b.itertuples(index=False):
                 if q is None or row.q != q:
                     if q is not None:
                         yield from result(ids, best)
                     q, ids = row.q, np.frombuffer(row.ids, "<i8")
-                    tree, best = CoverTree(np.frombuffer(row.x, "<f8").reshape(len(ids), -1)), TopK(len(ids), k)
+                    tree, best = indexed_cell(row)[1], TopK(len(ids), k)
                     best.d[:] = np.frombuffer(row.bd, "<f8").reshape(len(ids), k)
                     best.i[:] = np.frombuffer(row.bi, "<i8").reshape(len(ids), k)
                 elif row.low <= best.d[:, -1].max() + EPS:
-                    did = np.frombuffer(row.ids, "<i8")
-                    dual_search(tree, ids, CoverTree(np.frombuffer(row.x, "<f8").reshape(len(did), -1)), did, best)
+                    did, data_tree = indexed_cell(row)
+                    dual_search(tree, ids, data_tree, did, best)
         if q is not None:
             yield from result(ids, best)
 
