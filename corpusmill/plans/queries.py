@@ -186,6 +186,21 @@ def _(s, d):
     return vocab.decode_ids(vocab.encode_tokens(tokens.tokenize(docs_of(s, d)), v), v).select("doc_id", "pos", "word")
 
 
+# the four encoders again, over the vocabulary of all documents
+CTOKS = f"{_toks()}, {VOCAB}, {_dtoks().replace('toks AS', 'dtoks AS', 1)}"
+
+
+@query("encode_corpus_tokens", f"WITH {CTOKS} SELECT doc_id, t.pos, t.word, coalesce(v.id, 3) AS token_id FROM dtoks t LEFT JOIN vocab v ON v.word = t.word")
+def _(s, d):
+    return vocab.encode_tokens(tokens.tokenize(docs_of(s, d)), _vocab(s, d)).select("doc_id", "pos", "word", "token_id")
+
+
+@query("decode_corpus_ids", f"WITH {CTOKS} SELECT doc_id, t.pos, coalesce(v.word, '<unk>') AS word FROM dtoks t LEFT JOIN vocab v ON v.word = t.word")
+def _(s, d):
+    v = cut(_vocab(s, d))
+    return vocab.decode_ids(vocab.encode_tokens(tokens.tokenize(docs_of(s, d)), v), v).select("doc_id", "pos", "word")
+
+
 @query("oov_tokens", f"WITH {_dtoks()}, {BVOCAB} SELECT doc_id, pos, word FROM toks WHERE word NOT IN (SELECT word FROM vocab)")
 def _(s, d):
     return vocab.unknown(tokens.tokenize(docs_of(s, d)), _bench_vocab(s, d)).select("doc_id", "pos", "word")
@@ -596,8 +611,9 @@ def _(s, d):
 _IDS = f"{BVOCAB}, {_dtoks()}, ids AS (SELECT doc_id, list(coalesce(id, 3) ORDER BY t.pos) AS ids, count(*)::INTEGER AS n_tokens FROM toks t LEFT JOIN vocab v ON v.word = t.word GROUP BY doc_id)"
 
 
-def _batches(s, d):
-    ids = vocab.encode_tokens(tokens.tokenize(docs_of(s, d)), _bench_vocab(s, d)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("t"))
+def _batches(s, d, words=_bench_vocab):
+    short = docs_of(s, d).where(F.size(T.tokens_of(F.col("text"))) < 512)  # before the join, which shuffles every token
+    ids = vocab.encode_tokens(tokens.tokenize(short), words(s, d)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("t"))
     ids = ids.select("doc_id", F.transform("t", lambda x: x["token_id"]).alias("ids"), F.size("t").alias("n_tokens"))
     return encode.length_batches(ids, 32, 512)
 
@@ -615,6 +631,19 @@ def _(s, d):
     return encode.pad_batches(cut(_batches(s, d))).select("batch", "doc_id", "n_tokens", "ids", "mask")
 
 
+_CIDS = f"{CTOKS}, ids AS (SELECT doc_id, list(coalesce(id, 3) ORDER BY t.pos) AS ids, count(*)::INTEGER AS n_tokens FROM dtoks t LEFT JOIN vocab v ON v.word = t.word GROUP BY doc_id)"
+
+
+@query("encode_corpus_batch", f"WITH {_CIDS} SELECT doc_id, ids, n_tokens, (row_number() OVER (ORDER BY n_tokens, doc_id) - 1) // 32 AS batch FROM ids WHERE n_tokens < 512")
+def _(s, d):
+    return _batches(s, d, _vocab)
+
+
+@query("pad_corpus_batch", f"{_PADDED.replace(_IDS, _CIDS)} SELECT batch, doc_id, n_tokens, list_resize(ids, width, 1) AS ids, list_transform(range(width), lambda i: i < n_tokens) AS mask FROM w")
+def _(s, d):
+    return encode.pad_batches(cut(_batches(s, d, _vocab))).select("batch", "doc_id", "n_tokens", "ids", "mask")
+
+
 @query("shuffle")
 def _(s, d):
     return encode.shuffled(table(s, d, "documents").select("doc_id", "n_chars"), 7)
