@@ -1,7 +1,9 @@
 """Media columns: AVI motion-JPEG to timed clip rows.
 
 The RIFF tree of an AVI is walked for the header (frame rate) and the index: ``idx1`` with offsets from ``movi`` or from
-the start of the file, or the OpenDML ``ix##`` chunks, or, where neither is sound, the chunks of ``movi`` in order. Every
+the start of the file, or the OpenDML ``ix##`` chunks, or, where neither is sound, the chunks of ``movi`` in order. An index is taken only
+if it covers every frame chunk found in the ``movi`` lists of all segments (``AVI `` and ``AVIX``); else its sound entries and the
+chunks found are taken together, by place. Every
 frame is an intra frame: a baseline JPEG (grey or colour, any sampling, restart markers, default Huffman tables where the
 file leaves them out), of which the luma plane is decoded. Consecutive luma histograms are compared by the earth mover's
 distance, as a share of the full range; a cut is where it reaches FLOOR and exceeds the median of its neighbourhood
@@ -244,25 +246,30 @@ def parse_avi(data: bytes) -> tuple[float, list[bytes]]:
     if video < 0:
         raise ValueError("no video stream")
     wanted = (b"%02ddc" % video, b"%02ddb" % video)
-    entries: list[tuple[int, int]] = []
-    if idx1 and movi is not None:
+    there = {a: z - a for k, a, z in found if k in wanted}
+    short: list[tuple[int, int]] = []
+    if idx1:
         raw = data[idx1[0] : idx1[1]]
         rows = [(raw[i : i + 4], *struct.unpack("<II", raw[i + 8 : i + 16])) for i in range(0, len(raw) - 15, 16)]
         rows = [r for r in rows if r[0] in wanted]
-        for base in (movi, 0):
+        for base in (movi, 0) if movi is not None else ():
             if rows and all(data[base + o : base + o + 4] == k and int.from_bytes(data[base + o + 4 : base + o + 8], "little") == n for k, o, n in rows):
-                entries = [(base + o + 8, n) for _, o, n in rows]
+                short = [(base + o + 8, n) for _, o, n in rows]
                 break
+    entries = short if there.keys() <= {o for o, _ in short} else []
     if not entries:
+        parts: list[tuple[int, int]] = []
         for kind, a, z in ix:
             if kind == b"ix%02d" % video and z - a >= 24:
                 n, base = int.from_bytes(data[a + 4 : a + 8], "little"), int.from_bytes(data[a + 12 : a + 20], "little")
                 part = data[a + 24 : min(z, a + 24 + 8 * n)]
-                entries += [(base + o, s & 0x7FFFFFFF) for o, s in struct.iter_unpack("<II", part[: len(part) // 8 * 8])]
-        if any(o + n > len(data) for o, n in entries):
-            entries = []
-    if not entries:
-        entries = [(a, z - a) for k, a, z in found if k in wanted]
+                parts += [(base + o, s & 0x7FFFFFFF) for o, s in struct.iter_unpack("<II", part[: len(part) // 8 * 8])]
+        parts = [] if any(o + n > len(data) for o, n in parts) else parts
+        if there.keys() | {o for o, _ in short} <= {o for o, _ in parts}:
+            entries = parts
+        else:
+            sound = [(o, n) for o, n in parts if o >= 8 and data[o - 8 : o - 4] in wanted and int.from_bytes(data[o - 4 : o], "little") == n]
+            entries = sorted((there | dict(sound) | dict(short)).items())
     if not entries:
         raise ValueError("no frame")
     return rate, [data[o : o + n] for o, n in entries]

@@ -92,6 +92,22 @@ def test_index_kinds():
     assert M.parse_avi(a[:at] + b"ix00" + struct.pack("<I", len(body)) + body)[1] == want
 
 
+def test_index_of_the_first_segment_only():
+    f, a = film([60, 180], [4, 4])
+    _, b = film([90, 200], [5, 3], seed=1)
+    want = M.parse_avi(a)[1] + M.parse_avi(b)[1]
+    movi = b[b.index(b"movi") - 8 : b.index(b"idx1")]
+    two = a + b"RIFF" + struct.pack("<I", 4 + len(movi)) + b"AVIX" + movi
+    assert M.parse_avi(two)[1] == want
+    assert [c[1:3] for c in M.clips_of(two)] == [(0, 3), (4, 7), (8, 12), (13, 15)]
+    at = a.index(b"idx1")
+    short = a[: at + 4] + struct.pack("<I", 16 * 3) + a[at + 8 : at + 8 + 16 * 3]
+    assert M.parse_avi(short)[1] == M.parse_avi(a)[1]  # an index of three of the eight frames
+    first = two.index(b"00dc") + 8
+    body = struct.pack("<HBBI4sQI", 2, 0, 1, 1, b"00dc", 0, 0) + struct.pack("<II", first, len(want[0]))
+    assert M.parse_avi(two + b"ix00" + struct.pack("<I", len(body)) + body)[1] == want  # neither index is whole
+
+
 def test_odd_rows(spark):
     _, a = film([60, 180], [4, 4])
     broken = bytearray(a)
