@@ -1,13 +1,13 @@
 """WARC: a sequential reader, and the writer that its round trip needs.
 
-A file is a run of gzip members with one record in each (plain, uncompressed records are read too). The reader takes the
+A file is a run of gzip members with one record or more in each (plain, uncompressed records are read too). The reader takes the
 stream in small pieces, inflates incrementally, parses a record's headers as soon as they are there, takes exactly
 Content-Length bytes as its block, and checks the block digest and, for HTTP messages, the payload digest (sha1, sha256 or
 md5, in base32 or hex). It never holds more than one record and never seeks, so files of any size and object stores work.
 
 Defined cases: a damaged member, a record cut short and a bad length give one row with ``error`` and whatever headers were
 read, and reading goes on at the next gzip member; a digest that is missing or of an unknown kind gives null, a wrong one
-false; an empty file gives no row; header names match in any case, the first of repeated ones counts; null content gives
+false; records that share a member have its offset, and what follows the last of them and is no record gives a row with ``error``; an empty file gives no row; header names match in any case, the first of repeated ones counts; null content gives
 no row. In writing, null html is marked as truncated and comes back as null, empty html comes back as empty; line breaks
 in a url are percent-encoded; a null url has no header and comes back as null; repeated rows are repeated records.
 """
@@ -124,13 +124,14 @@ class _Member:
             if self.buffer or not self.more():
                 return
 
-    def finish(self) -> None:
+    def finish(self) -> bool:
+        """Past the end of a record: whether more than line breaks follow in the member."""
         if self.plain:
             self.stream.back(self.buffer)
+            self.buffer = b""
         else:
-            while self.more():
-                self.buffer = b""
-        self.buffer = b""
+            self.strip_breaks()
+        return bool(self.buffer)
 
 
 def digest_matches(digest: str | None, data: bytes) -> bool | None:
@@ -160,15 +161,16 @@ def _headers(raw: bytes) -> tuple[str, dict[str, str]]:
 
 def read_records(raw, file: str = "") -> Iterator[dict]:
     """Rows of SCHEMA out of a binary stream with ``read(n)``."""
-    stream = _Stream(raw)
-    while start := stream.peek(3):
-        if start[:1] in b"\r\n":
-            stream.back(stream.read().lstrip(b"\r\n"))
-            continue
-        row = dict.fromkeys(_NAMES) | {"file": file, "offset": stream.offset}
-        plain = start[:2] != _MAGIC[:2]
-        try:
+    stream, m, more = _Stream(raw), None, False
+    while more or (start := stream.peek(3)):
+        if not more:
+            if start[:1] in b"\r\n":
+                stream.back(stream.read().lstrip(b"\r\n"))
+                continue
+            at, plain = stream.offset, start[:2] != _MAGIC[:2]
             m = _Member(stream, plain)
+        more, row = False, dict.fromkeys(_NAMES) | {"file": file, "offset": at}
+        try:
             m.strip_breaks()
             head = m.until(b"\r\n\r\n")
             if head is None:
@@ -192,7 +194,7 @@ def read_records(raw, file: str = "") -> Iterator[dict]:
                     payload = body
             row["payload_digest_ok"] = digest_matches(h.get("warc-payload-digest"), payload)
             row["payload"] = None if row["truncated"] and not block else payload
-            m.finish()
+            more = m.finish()
             yield row
         except (ValueError, zlib.error, UnicodeError) as e:
             yield row | {"error": str(e)[:200], "payload": None}

@@ -53,6 +53,17 @@ def test_damage_costs_one_record():
     assert cut[0]["error"] is None and cut[-1]["error"]
 
 
+@pytest.mark.parametrize("n", [1, 7, 1 << 20])
+def test_records_in_one_member(n):
+    blocks = [b"a" * 3000, b"", b"b\r\n", b"c"]
+    one, last = gzip.compress(b"".join(map(raw, blocks))), gzip.compress(raw(b"d"))
+    rows = list(W.read_records(Slow(one + last, n)))
+    assert [x["payload"] for x in rows] == [*blocks, b"d"] and all(x["block_digest_ok"] and x["error"] is None for x in rows)
+    assert [x["offset"] for x in rows] == [0] * 4 + [len(one)]
+    rows = list(W.read_records(Slow(gzip.compress(raw(b"a") + b"no record") + last, n)))
+    assert [(x["payload"], x["error"] is None) for x in rows] == [(b"a", True), (None, False), (b"d", True)]
+
+
 def test_digests():
     rows = list(W.read_records(io.BytesIO(raw(b"a") + raw(b"a", **{"WARC-Block-Digest": sha(b"b")}) + raw(b"a", **{"WARC-Block-Digest": None}) + raw(b"a", **{"WARC-Block-Digest": "sha256:" + hashlib.sha256(b"a").hexdigest()}) + raw(b"a", **{"WARC-Block-Digest": "crc:1"}))))
     assert [x["block_digest_ok"] for x in rows] == [True, False, None, True, None]
