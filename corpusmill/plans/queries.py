@@ -361,6 +361,20 @@ def _(s, d):
     return search.exact(search.query_terms(_bench_pairs(s, d), bigrams=True), tokens.sentence_arrays(docs_of(s, d), lower=True), bigrams=True)
 
 
+def _bench_sentences(s, d):
+    """Every sentence of the benchmark's texts as a query."""
+    p = _bench(s, d).select("query_id", F.posexplode(T.sentences_of(F.col("text"))).alias("at", "t"))
+    return p.select((F.col("query_id") * 100000 + F.col("at")).alias("query_id"), T.tokens_of(F.lower("t")).alias("text"))
+
+
+@query("search_exact_sentences", f"""WITH {_sarr(True)}, {_sents('benchmark', 'item_id').replace('sents AS', 'bs AS', 1)}, {_TW},
+qt AS (SELECT DISTINCT item_id * 100000 + sent AS query_id, unnest(regexp_extract_all(lower(text), {TOK})) AS w FROM bs),
+k AS (SELECT query_id, count(*) AS k FROM qt GROUP BY 1), h AS (SELECT query_id, doc_id, sent FROM qt JOIN terms ON a = w JOIN k USING (query_id) GROUP BY query_id, doc_id, sent, k HAVING count(*) = k)
+SELECT query_id, doc_id, count(*)::DOUBLE AS score FROM h GROUP BY query_id, doc_id""")
+def _(s, d):
+    return search.exact(search.query_terms(_bench_sentences(s, d), stopwords=()), tokens.sentence_arrays(docs_of(s, d), lower=True))
+
+
 # --- phrases and fuzzy words -----------------------------------------------------------------------------------------
 @query("bigram_counts", f"WITH {_sarr(False)}, {PAIRS} SELECT a, b, count(*) AS count FROM pairs GROUP BY a, b")
 def _(s, d):
