@@ -6,12 +6,29 @@ the shared folder. The number of rounds is logarithmic in practice, and no verte
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 
+def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lowest node of its component, node) for the nodes, in order, of edges that fit in a task: labels hook and jump."""
+    node, at = np.unique(np.concatenate([a, b]).astype(np.int64), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(node))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        for end in (x, y, label[x], label[y]):
+            np.minimum.at(new, end, low)
+        new = new[new]
+        if (new == label).all():
+            return node[label], node
+        label = new
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
