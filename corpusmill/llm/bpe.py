@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import Memo, shared_dir, table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -89,6 +89,17 @@ def word_encoder(path: str):
     return encode
 
 
+def text_encoder(path: str):
+    """text -> list of ids, word by word in one call of the library where it is installed; same ids as the table of distinct words gives."""
+    try:
+        import tiktoken
+    except ImportError:
+        encode, split = word_encoder(path), regex.compile(PATTERN).findall
+        memo = Memo(lambda w: encode(w.encode("utf-8", "surrogatepass")), 400_000)
+        return lambda text: [i for w in split(text) for i in memo[w]]
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=load_ranks(path), special_tokens={}).encode_ordinary
+
+
 class _Segments:
     """Numbers the words of a partition; both passes use it, so that they number alike."""
 

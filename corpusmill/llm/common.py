@@ -9,6 +9,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _FALLBACK: list[str] = []
 
@@ -72,9 +73,22 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def small_enough(df: DataFrame, row_bytes: int, limit_bytes: int = 64 << 20) -> bool:
-    """True when ``df`` (already materialised, so counting is cheap) may be broadcast."""
-    return df.count() * row_bytes <= limit_bytes
+def bytes_of(kind: T.DataType) -> int | None:
+    """Bytes of a value of a type of fixed width, as a row holds it."""
+    return None if isinstance(kind, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)) else 8
+
+
+def fits(df: DataFrame, limit_bytes: int = 64 << 20) -> bool:
+    """True when ``df`` (already written, so that measuring is cheap) may be broadcast: the bytes of its values are counted."""
+    size = F.count("*") * F.lit(16)
+    for f in df.schema:
+        width = bytes_of(f.dataType)
+        if width:
+            size = size + F.count("*") * F.lit(width)
+        else:
+            value = F.col(f.name) if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.to_json(F.struct(f.name))
+            size = size + F.coalesce(F.sum(F.octet_length(value)), F.lit(0)) + F.count("*") * F.lit(16)
+    return df.agg(size.alias("n")).first()["n"] <= limit_bytes
 
 
 def drop_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -82,7 +96,7 @@ def drop_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
 
     Rows with a null key stay.
     """
-    ids = ids.select(F.col(ids.columns[0]).alias("__drop")).distinct()
-    if small_enough(ids, 64):
+    ids = ids.select(F.col(ids.columns[0]).alias("__drop"))
+    if fits(ids):
         ids = F.broadcast(ids)
     return docs.join(ids, docs[key] == ids["__drop"], "left_anti")

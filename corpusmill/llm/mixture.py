@@ -1,55 +1,53 @@
 """Mixing sources to target weights.
 
-1. Pack: a source's documents are dealt by a hash of the id into groups of about ``group_tokens`` tokens; within a group, in
-   order of the id, their tokens (a word with the white space after it, so that nothing is lost) run on, with ``EOD``
-   after each document, and are cut into blocks of ``block_tokens``. The last block of a group may be shorter. Blocks of
-   a source are numbered through its groups: index 0 .. N_s - 1.
+1. Pack: every text becomes its tokenizer's ids, with the ids of ``EOD`` behind it; they are written once. A source's documents
+   are dealt by a hash of the id into groups of about ``group_tokens`` ids; in a group, in order of the id, the ids run on and
+   are cut into blocks of exactly ``block_tokens``. What is left over at the end of the groups runs on from group to group,
+   into further blocks. So all blocks of a source have the same length, but for its last one, which may be shorter.
+   Blocks of a source are numbered 0 .. N_s - 1: those within groups first.
 2. Draw: every output shard of ``shard_slots`` slots draws its counts by source from a multinomial with the target
    weights, seeded by (seed, shard) alone.
 3. Map: the k-th slot that a source gets in all shards takes block perm_{s,e}(k mod N_s) with e = k div N_s, where perm is
    a Feistel permutation of 0 .. N_s - 1 keyed by (seed, source, e): no block repeats before all of them were used.
-4. Join slots and blocks by index. Slots go to the group that holds their index, where the blocks are packed and handed
-   out, so each text is shuffled once.
+4. Join slots and blocks by index. Slots go to the group that holds their index, where the blocks are cut and handed
+   out, so ids are shuffled once.
 
-Weights: given by source, or else the source's tokens to the power ``alpha``. By default there are as many slots as
-blocks. The driver holds one number for each source and group of the mixture (at most MAX_GROUPS groups).
+Weights: given by source, or else the source's ids to the power ``alpha``. By default there are as many slots as
+blocks. The driver holds one row for each source of the mixture, as the multinomial needs its whole weight vector; groups are
+planned in tables, as many as there are.
 
-Defined cases: null text and blank text count as a document without tokens, which yields nothing; a null source is a
-source of its own; documents with null id come first, in order of their text; repeated rows are packed as often as they
-occur; sources without a token or with weight 0 get no slot; weights of unknown sources are ignored; no token at all gives
-an empty table; other columns are not read.
+Texts of blocks are cut between characters: one that a block's end would divide goes to the block in which it begins. Texts of a
+source's blocks in one group concatenate to its documents, white space included.
+
+Defined cases: null text and text without a visible character yield nothing; a null source is a source of its own; documents
+with null id are dealt by a hash of their text and come first in their group; equal ids follow that hash; repeated rows are
+packed as often as they occur; very long texts run through as many blocks as they fill; sources without an id or with weight 0
+get no slot; weights of unknown sources are ignored; no id at all gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, table
+from .bpe import TOKENIZER, load_ranks, text_encoder
+from .common import fits, h64, materialize, mix, table
 
 BLOCK_TOKENS = 512
 SHARD_SLOTS = 256
 GROUP_TOKENS = 1_000_000
-FINE = 1024
-MAX_GROUPS = 1_000_000
 ALPHA = 0.7
 EOD = "\n\n"
-_TOKEN = re.compile(r"\S+\s*")
-_SCHEMA = "shard long, slot int, source string, block long, n_tokens int, doc_ids array<long>, lang string, text string"
-
-
-def tokens_of(text: str | None) -> list[str]:
-    """Tokens of a document, whose concatenation is the text without leading white space, ended by EOD."""
-    t = _TOKEN.findall(text) if text else []
-    if t:
-        t[-1] = t[-1].rstrip() + EOD
-    return t
+STRIDE = 1024
+_SCHEMA = "shard long, slot int, source string, block long, n_tokens int, doc_ids array<long>, lang string, ids array<int>, text string"
+_COLUMNS = [c.split()[0] for c in _SCHEMA.split(", ")]
+_PIECE = "source string, tail long, at long, n int, doc_ids array<long>, lang string, ids binary, text string"
 
 
 def key_of(*parts) -> int:
@@ -75,58 +73,111 @@ def shard_counts(seed: int, shard: int, slots: int, p: np.ndarray) -> np.ndarray
     return np.random.default_rng([seed, shard]).multinomial(slots, p)
 
 
-def _plan(rows, block_tokens: int, group_tokens: int):
-    """rows of (source, fine bucket, tokens, documents) -> per source: number of groups, first block of each, blocks."""
-    by: dict = {}
-    for source, fine, n in rows:
-        by.setdefault(source, np.zeros(FINE, dtype=np.int64))[fine] += n
-    plan = {}
-    total = sum(int(x.sum()) for x in by.values())
-    group_tokens = max(group_tokens, -(-total // MAX_GROUPS))
-    for source in sorted(by, key=lambda s: (s is not None, s)):
-        n = int(by[source].sum())
-        if not n:
-            continue
-        groups = min(FINE, 1 << max(0, (-(-n // group_tokens) - 1).bit_length()))
-        held = by[source].reshape(-1, groups).sum(axis=0)  # group = fine bucket mod groups
-        blocks = -(-held // block_tokens)
-        plan[source] = (groups, np.concatenate([[0], np.cumsum(blocks)]).astype(np.int64), n)
-    return plan
-
-
-def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_tokens: int = BLOCK_TOKENS, slots: int | None = None, shard_slots: int = SHARD_SLOTS, alpha: float = ALPHA, seed: int = 0, group_tokens: int = GROUP_TOKENS) -> DataFrame:
-    """One row per slot: shard, slot, source, block, n_tokens, doc_ids (in order, of documents with a token in the block), lang (of its first document), text."""
+def place_of(doc_id: int | None, text: str) -> tuple[int, int]:
+    """(hash that deals a document, hash of its text), signed 64-bit."""
+    t = h64(text)
+    h = int(mix(np.array([t if doc_id is None else doc_id & (2**64 - 1)], dtype=np.uint64), 9)[0])
+    return tuple(x - (1 << 64) if x >> 63 else x for x in (h, t))
+
+
+def groups_of(n: int, group_tokens: int) -> int:
+    """The number of groups of a source of n ids, a power of two."""
+    return 1 << max(0, (-(-n // group_tokens) - 1).bit_length())
+
+
+def _encode(tokenizer: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = text_encoder(tokenizer)
+        eod = encode(EOD)
+        for b in batches:
+            for a in range(0, b.num_rows, 1000):
+                part = b.slice(a, 1000)
+                docs, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+                some = [i for i, t in enumerate(texts) if t and not t.isspace()]
+                ids = [np.array(encode(texts[i]) + eod, dtype="<u4") for i in some]
+                at = pa.array(some, pa.int64())
+                places = [place_of(docs[i], texts[i]) for i in some]
+                n = pa.array([len(x) for x in ids], pa.int64())
+                wide = [x.astype("<u2") if not len(x) or x.max() < 65536 else x for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(2).take(at), part.column(3).take(at), pa.array([x for x, _ in places], pa.int64()), pa.array([x for _, x in places], pa.int64()), n, pa.array([x.tobytes() for x in wide], pa.binary())], names=["doc_id", "source", "lang", "h", "th", "n", "ids"])
+
+    return run
+
+
+class _Stream:
+    """The ids of a group's documents, run together in order."""
+
+    def __init__(self, docs: pd.DataFrame, by_id: np.ndarray | None):
+        null = docs["doc_id"].isna().to_numpy()
+        ids = docs["doc_id"].fillna(0).to_numpy().astype(np.int64)
+        order = np.lexsort((docs["th"].to_numpy(), ids, ~null))
+        raw, sizes = docs["ids"].to_numpy()[order], docs["n"].to_numpy()[order]
+        self.flat = np.concatenate([np.frombuffer(x, "<u2" if len(x) == 2 * n else "<u4").astype(np.int32) for x, n in zip(raw, sizes)])
+        self.ends, self.doc, self.null, self.lang = np.cumsum(sizes), ids[order], null[order], docs["lang"].to_numpy()[order]
+        self.by_id = by_id
+        if by_id is not None:
+            pieces = by_id[self.flat]
+            self.bytes = b"".join(pieces)
+            self.byte = np.concatenate([[0], np.cumsum(np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)))])
+
+    def docs(self, a: int, z: int) -> tuple[list[int], str | None]:
+        """Ids of the documents with an id in [a, z), and the language of the first."""
+        i, j = np.searchsorted(self.ends, a, side="right"), np.searchsorted(self.ends, z - 1, side="right")
+        return list(dict.fromkeys(int(d) for d, null in zip(self.doc[i : j + 1], self.null[i : j + 1]) if not null)), self.lang[i]
+
+    def text(self, a: int, z: int) -> str | None:
+        if self.by_id is None:
+            return None
+        i, j = self.byte[a], self.byte[z]
+        while i < len(self.bytes) and self.bytes[i] & 0xC0 == 0x80:
+            i += 1
+        while j < len(self.bytes) and self.bytes[j] & 0xC0 == 0x80:
+            j += 1
+        return self.bytes[i:j].decode("utf-8", "replace")
+
+
+def _name(keys) -> str | None:
+    return None if keys[0] is None or keys[0] != keys[0] else keys[0]
+
+
+def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_tokens: int = BLOCK_TOKENS, slots: int | None = None, shard_slots: int = SHARD_SLOTS, alpha: float = ALPHA, seed: int = 0, group_tokens: int = GROUP_TOKENS, tokenizer: str = TOKENIZER, with_text: bool = False) -> DataFrame:
+    """One row per slot: shard, slot, source, block, n_tokens, doc_ids (in order, of documents with an id in the block), lang (of its first document), ids and, if asked for, text."""
     spark = docs.sparkSession
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"), lang.alias("lang"))
-    # ids spread over fine buckets; a group is a set of them, so one pass of counts serves whatever number of groups
-    fine = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(FINE)).cast("int")
-
-    @F.pandas_udf("int")
-    def count_tokens(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: len(t.split()) if t else 0).astype("int32")
-
-    counted = docs.groupBy("source", fine.alias("fine")).agg(F.sum(count_tokens("text")).alias("n"))
-    plan = _plan([(r["source"], r["fine"], r["n"]) for r in counted.collect()], block_tokens, group_tokens)
-    names = list(plan)
-    p = np.array([plan[s][2] ** alpha if weights is None else max(0.0, float(weights.get(s, 0.0))) for s in names], dtype=float)
+    coded = materialize(docs.mapInArrow(_encode(tokenizer), "doc_id long, source string, lang string, h long, th long, n long, ids binary"))
+
+    held = [(r["source"], r["n"]) for r in coded.groupBy("source").agg(F.sum("n").alias("n")).collect()]
+    held.sort(key=lambda x: (x[0] is not None, x[0]))
+    sources = spark.createDataFrame([(s, groups_of(n, group_tokens)) for s, n in held], "s string, groups long")
+    sources = F.broadcast(sources) if fits(sources) else sources
+    dealt = coded.join(sources, coded["source"].eqNullSafe(sources["s"])).withColumn("g", F.col("h").bitwiseAND(F.col("groups") - 1)).drop("s", "groups", "h")
+    # whole blocks of a group and what it leaves over; the first block of each, and where its rest begins among the rests
+    per = materialize(dealt.groupBy("source", "g").agg(F.sum("n").alias("n")).selectExpr("source", "g", f"n div {block_tokens} as whole", f"n % {block_tokens} as rest"))
+    upto = "over (partition by source order by g rows between unbounded preceding and 1 preceding)"
+    per = materialize(per.selectExpr("*", f"coalesce(sum(whole) {upto}, 0) as first", f"coalesce(sum(rest) {upto}, 0) as rest_at"))
+    total = {r["source"]: (r["w"], r["r"]) for r in per.groupBy("source").agg(F.sum("whole").alias("w"), F.sum("rest").alias("r")).collect()}
+    names = [s for s, _ in held]
+    p = np.array([n**alpha if weights is None else max(0.0, float(weights.get(s, 0.0))) for s, n in held], dtype=float)
     if not len(names) or not p.sum():
-        return spark.createDataFrame([], _SCHEMA)
+        return spark.createDataFrame([], _SCHEMA).select(*[c for c in _COLUMNS if with_text or c != "text"])
     p /= p.sum()
-    blocks = np.array([plan[s][1][-1] for s in names])
+    whole = np.array([total[s][0] for s in names])
+    blocks = whole + np.array([-(-total[s][1] // block_tokens) for s in names])
     slots = int(blocks.sum()) if slots is None else int(slots)
     shards = -(-slots // shard_slots)
-    groups = {s: plan[s][0] for s in names}
-    first = {s: plan[s][1] for s in names}
 
     def draws(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            c = np.stack([shard_counts(seed, int(k), min(shard_slots, slots - int(k) * shard_slots), p) for k in b["id"]])
-            yield pd.DataFrame({"shard": np.repeat(b["id"].to_numpy(), len(names)), "s": np.tile(np.arange(len(names)), len(b)), "c": c.ravel()})
+            for a in range(0, len(b), 256):
+                k = b["id"].to_numpy()[a : a + 256]
+                c = np.stack([shard_counts(seed, int(i), min(shard_slots, slots - int(i) * shard_slots), p) for i in k])
+                i, s = np.nonzero(c)
+                yield pd.DataFrame({"shard": k[i], "s": s, "c": c[i, s]})
 
     # how many slots a source got in earlier shards: sums over ranges of shards on the driver would grow with the output,
     # so a window within each range and one over the few ranges give it
-    drawn = spark.range(shards).mapInPandas(draws, "shard long, s int, c long").where("c > 0").withColumn("r", F.expr(f"shard div {max(1, int(shards**0.5))}"))
+    drawn = spark.range(shards).mapInPandas(draws, "shard long, s int, c long").withColumn("r", F.expr(f"shard div {max(1, int(shards**0.5))}"))
     per_range = drawn.groupBy("s", "r").agg(F.sum("c").alias("rc"))
     before = per_range.selectExpr("s", "r", "coalesce(sum(rc) over (partition by s order by r rows between unbounded preceding and 1 preceding), 0) as base")
     counts = drawn.selectExpr("shard", "s", "r", "c", "coalesce(sum(c) over (partition by s, r order by shard rows between unbounded preceding and 1 preceding), 0) as inner").join(before, ["s", "r"]).selectExpr("shard", "s", "c", "inner + base as start")
@@ -143,55 +194,77 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
                 for e in np.unique(k // n):
                     at = k // n == e
                     index[at] = permute(k[at] % n, n, key_of(seed, name, int(e)))
-                yield pd.DataFrame({"source": [name] * len(k), "g": np.searchsorted(first[name], index, side="right") - 1, "block": index, "shard": np.repeat(rows["shard"].to_numpy(), c), "slot": np.repeat(rows["place"].to_numpy(), c) + step})
+                yield pd.DataFrame({"source": pd.Series([name] * len(k), dtype=object), "block": index, "tail": index - int(whole[s]), "shard": np.repeat(rows["shard"].to_numpy(), c), "slot": np.repeat(rows["place"].to_numpy(), c) + step})
+
+    placed = materialize(within.mapInPandas(slots_of, "source string, block long, tail long, shard long, slot int"))
+    # the group that holds a block: groups are spread over strides of block numbers, so that this is an equi-join
+    spread = per.where("whole > 0").select(F.col("source").alias("s"), "g", "first", (F.col("first") + F.col("whole")).alias("last"), F.explode(F.expr(f"sequence(first div {STRIDE}, (first + whole - 1) div {STRIDE})")).alias("stride"))
+    spread = F.broadcast(spread) if fits(per) else spread
+    inside = placed.where("tail < 0").withColumn("stride", F.expr(f"block div {STRIDE}"))
+    inside = inside.join(spread, inside["source"].eqNullSafe(spread["s"]) & (inside["stride"] == spread["stride"]) & (inside["block"] >= spread["first"]) & (inside["block"] < spread["last"])).select("source", "g", "shard", "slot", "block", "first")
+
+    shared = spark.sparkContext.broadcast(_by_id(tokenizer) if with_text else None)
+    names_out = [c for c in _COLUMNS if with_text or c != "text"]
+
+    def rows_of(source, right: pd.DataFrame, got: list[tuple]) -> pd.DataFrame:
+        """right: shard, slot, block; got: (ids, doc ids, language, text) of each."""
+        out = pd.DataFrame({"shard": right["shard"], "slot": right["slot"], "source": pd.Series([source] * len(right), dtype=object), "block": right["block"]})
+        out["n_tokens"] = [len(x[0]) for x in got]
+        for c, i in (("doc_ids", 1), ("lang", 2), ("ids", 0), ("text", 3)):
+            out[c] = pd.Series([x[i] for x in got], dtype=object)
+        return out[names_out]
+
+    def cut(keys, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=names_out, dtype=object)
+        right = right.reset_index(drop=True)
+        s, got = _Stream(left, shared.value), []
+        for b in (right["block"] - right["first"]).to_numpy():
+            a, z = int(b) * block_tokens, int(b + 1) * block_tokens
+            got.append((s.flat[a:z], *s.docs(a, z), s.text(a, z)))
+        return rows_of(_name(keys), right, got)
+
+    def rests(keys, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """What is left over behind the whole blocks of a group, as pieces of the source's further blocks."""
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=[c.split()[0] for c in _PIECE.split(", ")], dtype=object)
+        s, at = _Stream(left, shared.value), int(right["rest_at"].iloc[0])
+        a, out = len(s.flat) // block_tokens * block_tokens, []
+        while a < len(s.flat):
+            z = min(len(s.flat), a + block_tokens - at % block_tokens)
+            ids, lang_ = s.docs(a, z)
+            out.append((_name(keys), at // block_tokens, at % block_tokens, z - a, ids, lang_, s.flat[a:z].astype("<i4").tobytes(), s.text(a, z)))
+            a, at = z, at + z - a
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _PIECE.split(", ")])
+
+    def join_pieces(keys, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=names_out, dtype=object)
+        left, right = left.sort_values("at"), right.reset_index(drop=True)
+        ids = np.concatenate([np.frombuffer(x, "<i4") for x in left["ids"]])
+        one = (ids, list(dict.fromkeys(int(d) for x in left["doc_ids"] for d in x)), left["lang"].iloc[0], "".join(left["text"]) if with_text else None)
+        return rows_of(_name(keys), right, [one] * len(right))
 
-    slot_rows = within.mapInPandas(slots_of, "source string, g int, block long, shard long, slot int")
-    number = F.create_map(*[x for s in names if s is not None for x in (F.lit(s), F.lit(groups[s]))]) if any(s is not None for s in names) else F.create_map().cast("map<string,int>")
-    size = F.when(F.col("source").isNull(), F.lit(groups.get(None))).otherwise(number[F.col("source")])
-    dealt = docs.withColumn("__n", size).where(F.col("__n").isNotNull()).withColumn("g", F.pmod(fine, F.col("__n")).cast("int")).drop("__n")
+    schema = ", ".join(c for c in _SCHEMA.split(", ") if c.split()[0] in names_out)
+    full = dealt.groupBy("source", "g").cogroup(inside.groupBy("source", "g")).applyInPandas(cut, schema)
+    at = per.where("rest > 0").select("source", "g", "rest_at")
+    pieces = dealt.groupBy("source", "g").cogroup(at.groupBy("source", "g")).applyInPandas(rests, _PIECE)  # the same shuffle of ids
+    further = pieces.groupBy("source", "tail").cogroup(placed.where("tail >= 0").groupBy("source", "tail")).applyInPandas(join_pieces, schema)
+    return full.union(further)
 
-    def pack(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({c.split()[0]: [] for c in _SCHEMA.split(", ")}, dtype=object)
-        source, g = right["source"].iloc[0], int(right["g"].iloc[0])
-        source = None if source is None or source != source else source
-        order = sorted(range(len(left)), key=lambda i: (not pd.isna(left["doc_id"].iat[i]), 0 if pd.isna(left["doc_id"].iat[i]) else left["doc_id"].iat[i], left["text"].iat[i] or ""))
-        made, ids, langs, texts, sizes = 0, [], [], [], []
-        now, of, lang_ = [], [], None
-
-        def close():
-            nonlocal now, of
-            texts.append("".join(now))
-            sizes.append(len(now))
-            ids.append(of)
-            langs.append(lang_)
-            now, of = [], []
-
-        for i in order:
-            t = tokens_of(left["text"].iat[i])
-            at, d = 0, left["doc_id"].iat[i]
-            while at < len(t):
-                if not now:
-                    lang_ = left["lang"].iat[i]
-                part = t[at : at + block_tokens - len(now)]
-                at += len(part)
-                now += part
-                if not pd.isna(d):
-                    of.append(int(d))
-                if len(now) == block_tokens:
-                    close()
-        if now:
-            close()
-        at = (right["block"] - first[source][g]).to_numpy()
-        return pd.DataFrame({"shard": right["shard"], "slot": right["slot"], "source": [source] * len(right), "block": right["block"], "n_tokens": [sizes[i] for i in at], "doc_ids": [ids[i] for i in at], "lang": [langs[i] for i in at], "text": [texts[i] for i in at]})
-
-    return dealt.groupBy("source", "g").cogroup(slot_rows.groupBy("source", "g")).applyInPandas(pack, _SCHEMA)
+
+def _by_id(tokenizer: str) -> np.ndarray:
+    ranks = load_ranks(tokenizer)
+    out = np.full(max(ranks.values()) + 1, b"", dtype=object)
+    for piece, i in ranks.items():
+        out[i] = piece
+    return out
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The slots as rows of ``documents``: doc_id = position of the slot in the output, n_chars = length of the text."""
     size = options.get("shard_slots", SHARD_SLOTS)
-    m = mix_sources(docs, **options)
+    m = mix_sources(docs, with_text=True, **options)
     return m.select((F.col("shard") * F.lit(size) + F.col("slot")).alias("doc_id"), "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 

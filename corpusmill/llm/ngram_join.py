@@ -49,7 +49,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, drop_ids, h64, materialize, mix, parallelism, small_enough, table
+from .common import Memo, drop_ids, fits, h64, materialize, mix, parallelism, table
 from .components import connected_components, local_components
 
 N = 3
@@ -410,7 +410,7 @@ def _candidates(docs: DataFrame, threshold: float, n: int, cell: int, chunk: int
         .select("component", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc_id", "sig", "copies")
     )
     wanted = materialize(cells.select("doc_id").distinct())
-    if small_enough(wanted, 16):  # sets that meet no other aren't shuffled; beyond this size they are
+    if fits(wanted):  # sets that meet no other aren't shuffled; beyond this size they are
         sets = sets.join(F.broadcast(wanted), "doc_id", "left_semi")
     bin_ = F.when(F.col("i") + F.col("j") > 0, F.xxhash64("component", "i", "j")).otherwise(F.pmod(F.xxhash64("component"), F.lit(4 * width)))
     return member, low, cells.join(sets, ["doc_id", "sig"]).withColumn("bin", bin_)
