@@ -7,13 +7,15 @@ One weight vector w over hashed text features and K-1 ordered thresholds b_1 < b
 The thresholds are parametrised as b_1 and positive increments exp(d_k), so they stay ordered while training.
 
 Features of a text, hashed into 2**bits buckets, in three families of fixed norm, so that a long text dilutes none: its
-distinct white-space words by presence; the shapes of all its words (letter case and punctuation pattern, runs squeezed)
+distinct white-space words by presence; the shapes of all its words (letter case and punctuation pattern, runs squeezed;
+a word of over RUNS runs has a shape for every RUNS of them, so that unsegmented scripts and code aren't one shape)
 by the square root of their share; and a step of the share of words equal to the one before. The whole text is read.
 
-Defined cases: null, empty or blank text has only the bias bucket, and is scored like any text; null grades and null
-ids in the ratings are ignored; several grades for one document all count; with no usable rating every document scores
-the prior 0.5 and is kept; a repeated document row is scored and returned as often as it occurs; other columns of the
-input pass through ``select_quality`` unchanged, and a column that has the name of a result column is not read.
+Defined cases: null, empty or blank text has only the bias bucket, and is scored like any text; very long texts and words are
+read whole; null grades and null ids in the ratings are ignored; several grades for one document all count; with no usable
+rating every document scores the prior 0.5 and is kept; a score at the threshold is kept; an empty table gives an empty result;
+a repeated document row is scored and returned as often as it occurs; other columns of the input pass through
+``select_quality`` unchanged, and a column that has the name of a result column is not read.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 from operator import eq
 
 import numpy as np
@@ -34,29 +37,29 @@ BITS = 18
 MAX_RATED = 8000
 # norms of the families: words are many, and would learn single texts by heart before the shapes are learned
 OF_WORDS, OF_SHAPES, OF_REPEATS = 0.3, 2.0, 2.0
+RUNS, LONG = 24, 200
 _BIAS = 0
 
 
-def shape(word: str) -> str:
-    """``Word,`` -> ``Aa,``; runs are squeezed, so that ``***`` and ``*****`` look alike but ``*`` does not."""
+def shapes(word: str) -> list[str]:
+    """``Word,`` -> ``Aa,``; runs are squeezed, so that ``***`` and ``*****`` look alike but ``*`` does not. One for every RUNS runs."""
     out, last, run = [], "", 0
     for c in word:
         k = ("A" if c.isupper() else "a") if c.isalpha() else "9" if c.isdigit() else c
         if k == last:
             run += 1
             if run == 2 and k not in "Aa9":
-                out.append("+")
+                out[-1] += "+"
             continue
         out.append(k)
         last, run = k, 1
-        if len(out) > 24:
-            break
-    return "".join(out)
+    return ["".join(out[i : i + RUNS]) for i in range(0, len(out), RUNS)]
 
 
-def word_buckets(word: str, bits: int = BITS) -> tuple[int, int]:
+def word_buckets(word: str, bits: int = BITS) -> tuple[int, ...]:
+    """Bucket of the word, and those of its shapes."""
     mask = (1 << bits) - 1
-    return (h64("w:" + word) & mask, h64("s:" + shape(word)) & mask)
+    return (h64("w:" + word) & mask, *(h64("s:" + s) & mask for s in shapes(word)))
 
 
 def make_featurizer(bits: int = BITS):
@@ -71,11 +74,17 @@ def make_featurizer(bits: int = BITS):
         if not n:
             return np.array([[_BIAS], [1.0]], dtype=np.float32)
         counts = Counter(words)
-        pairs = np.array([memo[w] for w in counts], dtype=np.int64)
+        found = [memo[w] if len(w) < LONG else word_buckets(w, bits) for w in counts]
         times = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
-        of_word = np.unique(pairs[:, 0])
-        of_shape, inverse = np.unique(pairs[:, 1], return_inverse=True)
-        share = np.sqrt(np.bincount(inverse, times) / n)
+        held = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        flat = np.fromiter(chain.from_iterable(found), dtype=np.int64, count=int(held.sum()))
+        first = np.cumsum(held) - held
+        own = np.zeros(len(flat), dtype=bool)
+        own[first] = True
+        of_word = np.unique(flat[own])
+        of_shape, inverse = np.unique(flat[~own], return_inverse=True)
+        times = np.repeat(times, held - 1)
+        share = np.sqrt(np.bincount(inverse, times) / times.sum())
         r = sum(map(eq, words, words[1:])) / n
         ids = np.concatenate([of_word, of_shape, [_BIAS, rep[min(5, int(r * 20))]]])
         values = np.concatenate([np.full(len(of_word), OF_WORDS / np.sqrt(len(of_word))), OF_SHAPES * share, [1.0, OF_REPEATS]])
@@ -113,12 +122,26 @@ def _sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_ordinal(rows: list[np.ndarray], grades, bits: int = BITS, epochs: int = 30, rate: float = 0.5, l2: float = 1e-5, seed: int = 7, batch: int = 64) -> OrdinalModel:
-    """Maximum likelihood by AdaGrad on mini-batches.
+def link_gradient(z: np.ndarray, y: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(-log P(grade), its derivative by z, derivatives of their sum by the thresholds b) for latent values z and grade numbers y.
 
-    P(grade = k) is the difference of neighbouring tails, so
-    dlogP/dz = 1 - upper - lower with the sigmoids at the two thresholds that enclose the grade.
+    P(grade = k) is the difference of the sigmoids at the two thresholds that enclose it.
     """
+    ends = np.concatenate([[-np.inf], b, [np.inf]])
+    lo, hi = ends[y], ends[y + 1]
+    s_lo = np.where(np.isinf(lo), 1.0, _sigmoid(z - lo))
+    s_hi = np.where(np.isinf(hi), 0.0, _sigmoid(z - hi))
+    p = np.maximum(s_lo - s_hi, 1e-9)
+    dlo = np.where(np.isinf(lo), 0.0, s_lo * (1 - s_lo)) / p
+    dhi = np.where(np.isinf(hi), 0.0, s_hi * (1 - s_hi)) / p
+    db = np.zeros(len(b) + 2)
+    np.add.at(db, y, dlo)
+    np.add.at(db, y + 1, -dhi)
+    return -np.log(p), dhi - dlo, db[1:-1]
+
+
+def fit_ordinal(rows: list[np.ndarray], grades, bits: int = BITS, epochs: int = 30, rate: float = 0.5, l2: float = 1e-5, seed: int = 7, batch: int = 64) -> OrdinalModel:
+    """Maximum likelihood by AdaGrad on mini-batches."""
     levels = sorted(set(grades))
     y = np.searchsorted(levels, grades)
     k1 = len(levels) - 1
@@ -140,22 +163,11 @@ def fit_ordinal(rows: list[np.ndarray], grades, bits: int = BITS, epochs: int =
             flat, n = flat.astype(np.int64), sizes[pick]
             starts = np.concatenate([[0], np.cumsum(n)[:-1]])
             z = np.add.reduceat(w[flat] * x, starts)
-            bs = np.concatenate([[-np.inf], first + np.concatenate([[0.0], np.cumsum(np.exp(inc))]), [np.inf]])
-            lo, hi = bs[y[pick]], bs[y[pick] + 1]
-            s_lo = np.where(np.isinf(lo), 1.0, _sigmoid(z - lo))
-            s_hi = np.where(np.isinf(hi), 0.0, _sigmoid(z - hi))
-            p = np.maximum(s_lo - s_hi, 1e-9)
-            dlo = np.where(np.isinf(lo), 0.0, s_lo * (1 - s_lo)) / p
-            dhi = np.where(np.isinf(hi), 0.0, s_hi * (1 - s_hi)) / p
-            per = np.repeat(-(dlo - dhi), n) * x
+            _, dz, db = link_gradient(z, y[pick], first + np.concatenate([[0.0], np.cumsum(np.exp(inc))]))
             u, inv = np.unique(flat, return_inverse=True)
-            gu = np.bincount(inv, per, len(u)) + l2 * len(pick) * w[u]
+            gu = np.bincount(inv, np.repeat(dz, n) * x, len(u)) + l2 * len(pick) * w[u]
             gw[u] += gu * gu
             w[u] -= rate * gu / np.sqrt(gw[u])
-            db = np.zeros(k1 + 2)
-            np.add.at(db, y[pick], dlo)
-            np.add.at(db, y[pick] + 1, -dhi)
-            db = db[1:-1]
             g0 = db.sum()
             gb += g0 * g0
             first -= 0.1 * g0 / np.sqrt(gb)

@@ -7,13 +7,17 @@ itself, which a linear model can't. Terms are the distinct lower-cased words of
 and their first letters (inflected forms share a stem) with how many different words have them, up to LEVELS: one form of
 a stem may be harmless where three aren't. Terms are hashed into 2**bits buckets; x is presence.
 
-Only buckets whose document frequency differs between the classes by more than chance (chi-square above ``chi2``, in
-``support`` rated texts at least) take part; all others are frozen at zero, so that a long clean text does not gather
-noise. Pairs of buckets get the same screen through the factors' L2 penalty.
-
-Defined cases: null or blank text has no term and scores the bias, so it is kept; null labels and ids are ignored; with
-labels of one class only, nothing is learned and every document is kept; repeated document rows are scored and returned
-as often as they occur; other columns pass through ``select_clean`` unchanged.
+Three screens choose the buckets that take part; all others are frozen at zero, so that a long clean text does not gather
+noise: (1) the document frequency differs between the classes by more than chance (chi-square); (2) it does so among the rated
+texts that have a bucket of the first screen, where a group's name may tell what it doesn't tell elsewhere; (3) two
+buckets interact: of the shares of toxic texts with both, with one and with none, p11 - p10 - p01 + p00 is not zero by more
+than chance, whatever each tells alone. The third one looks at all pairs of the ``PAIRED`` most frequent buckets of the
+rated sample, a bound of fitting like the sample itself.
+
+Defined cases: null or blank text has no term and scores the bias, so it is kept; very long texts are read whole; null labels
+and ids are ignored; with labels of one class only or without any, nothing is learned and every document is kept; an empty
+table gives an empty result; equal scores are treated alike; repeated document rows are scored and returned as often as they
+occur; other columns pass through ``select_clean`` unchanged, and none but doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -34,6 +38,7 @@ FACTORS = 8
 MAX_LABELLED = 12000
 STEMS = (4, 5, 6)
 LEVELS = 3
+PAIRED = 2048
 THRESHOLD = 0.4
 
 
@@ -148,6 +153,52 @@ def screen(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS, chi2: float
     return np.flatnonzero((stat >= chi2) & (a + b >= support))
 
 
+def interacting(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS, most: int = PAIRED, least: int = 8, z2: float = 60.0) -> np.ndarray:
+    """Buckets of pairs whose effect isn't the sum of their own; each of the four cells of a pair has ``least`` texts at least."""
+    if not len(rows):
+        return np.zeros(0, dtype=np.int64)
+    df = np.bincount(np.concatenate(rows).astype(np.int64), minlength=1 << bits)
+    often = np.flatnonzero((df >= 2 * least) & (df <= len(rows) - 2 * least))
+    often = np.sort(often[np.argsort(-df[often], kind="stable")[:most]])
+    if len(often) < 2:
+        return np.zeros(0, dtype=np.int64)
+    at = np.full(1 << bits, -1, dtype=np.int64)
+    at[often] = np.arange(len(often))
+    both, toxic = np.zeros((len(often), len(often)), dtype=np.float32), np.zeros((len(often), len(often)), dtype=np.float32)
+    for k in range(0, len(rows), 1000):
+        x = np.zeros((len(rows[k : k + 1000]), len(often)), dtype=np.float32)
+        for i, r in enumerate(rows[k : k + 1000]):
+            p = at[r.astype(np.int64)]
+            x[i, p[p >= 0]] = 1
+        both += x.T @ x
+        bad = x[y[k : k + 1000] > 0]
+        toxic += bad.T @ bad
+    found = np.zeros(len(often), dtype=bool)
+    n, t, all_n, all_t = np.diag(both).astype(float), np.diag(toxic).astype(float), float(len(rows)), float((y > 0).sum())
+    for i in range(len(often)):
+        n11, t11 = both[i].astype(float), toxic[i].astype(float)
+        cells = [(n11, t11), (n[i] - n11, t[i] - t11), (n - n11, t - t11), (all_n - n[i] - n + n11, all_t - t[i] - t + t11)]
+        p = [(b + 0.5) / (a + 1) for a, b in cells]
+        var = sum(q * (1 - q) / np.maximum(a, 1) for q, (a, _) in zip(p, cells))
+        ok = np.logical_and.reduce([a >= least for a, _ in cells]) & ((p[0] - p[1] - p[2] + p[3]) ** 2 >= z2 * var)
+        if ok.any():
+            found[i] = True
+            found |= ok
+    return often[found]
+
+
+def choose(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """The buckets of all three screens."""
+    if not len(rows):
+        return np.zeros(0, dtype=np.int64)
+    alone = screen(rows, y, bits)
+    known = np.zeros(1 << bits, dtype=bool)
+    known[alone] = True
+    near = np.array([known[r].any() for r in rows], dtype=bool)
+    among = screen([r for r, x in zip(rows, near) if x], y[near], bits)
+    return np.unique(np.concatenate([alone, among, interacting(rows, y, bits)]))
+
+
 def fit_fm(rows: list[np.ndarray], y: np.ndarray, keep: np.ndarray, bits: int = BITS, factors: int = FACTORS, epochs: int = 100, rate: float = 0.3, l2: float = 1e-6, l2v: float = 1e-2, seed: int = 11, batch: int = 64) -> FactorizationMachine:
     """Logistic loss by AdaGrad; rows hold bucket ids, of which only those in ``keep`` are used."""
     m = len(keep)
@@ -196,8 +247,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
     """Fit on at most ``max_labelled`` labelled documents, those lowest by a hash of the id."""
     rows, y = rated_sample(docs, labels, "toxic", max_labelled, make_terms)
     rows = [np.frombuffer(x, dtype=np.int32) for x in rows]
-    keep = screen(rows, y) if len(rows) else np.zeros(0, dtype=np.int64)
-    return fit_fm(rows, y, keep)
+    return fit_fm(rows, y, choose(rows, y))
 
 
 def _apply(docs: DataFrame, model: FactorizationMachine):

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -33,16 +34,65 @@ def test_held_out_order_and_accuracy():
 
 
 def test_gradient_matches_differences():
-    """One full-batch step goes downhill: the fitted likelihood beats the start's."""
-    f = Q.make_featurizer()
-    data = texts(120, 3)
-    rows, y = [f(t) for t, _ in data], np.array([g for _, g in data])
+    r = np.random.default_rng(0)
+    z, y, b, h = r.normal(0, 2, 40), r.integers(0, 4, 40), np.array([-1.0, 0.3, 1.7]), 1e-6
+    _, dz, db = Q.link_gradient(z, y, b)
+    for i in range(40):
+        e = np.eye(40)[i] * h
+        assert abs((Q.link_gradient(z + e, y, b)[0].sum() - Q.link_gradient(z - e, y, b)[0].sum()) / (2 * h) - dz[i]) < 1e-5
+    for k in range(3):
+        e = np.eye(3)[k] * h
+        assert abs((Q.link_gradient(z, y, b + e)[0].sum() - Q.link_gradient(z, y, b - e)[0].sum()) / (2 * h) - db[k]) < 1e-4
+
+
+def plain_features(text, bits=Q.BITS):
+    """bucket -> value, by the words of the docstring."""
+    mask, out = (1 << bits) - 1, {0: 1.0}
+    words = (text or "").split()
+    if not words:
+        return out
+    add = lambda b, v: out.__setitem__(b, out.get(b, 0.0) + v)
+    own = {Q.h64("w:" + w) & mask for w in words}
+    for b in own:
+        add(b, Q.OF_WORDS / len(own) ** 0.5)
+    seen, n = {}, 0
+    for w in words:
+        runs = []
+        for c in w:
+            k = ("A" if c.isupper() else "a") if c.isalpha() else "9" if c.isdigit() else c
+            if runs and runs[-1][0] == k:
+                runs[-1][1] += 1
+            else:
+                runs.append([k, 1])
+        form = [k + ("+" if m > 1 and k not in "Aa9" else "") for k, m in runs]
+        for i in range(0, len(form), Q.RUNS):
+            b = Q.h64("s:" + "".join(form[i : i + Q.RUNS])) & mask
+            seen[b], n = seen.get(b, 0) + 1, n + 1
+    for b, k in seen.items():
+        add(b, Q.OF_SHAPES * (k / n) ** 0.5)
+    again = sum(a == b for a, b in zip(words, words[1:])) / len(words)
+    add(Q.h64(f"r:{min(5, int(again * 20))}") & mask, Q.OF_REPEATS)
+    return out
+
 
-    def loss(m):
-        t = np.column_stack([np.ones(len(rows)), m.tails(m.latent(rows)), np.zeros(len(rows))])
-        return -np.log(np.maximum(t[np.arange(len(y)), y] - t[np.arange(len(y)), y + 1], 1e-12)).mean()
+def test_scores_equal_plain_loops(spark, odd_docs):
+    """The query's scores, from the model's weights on."""
+    m = Q.train_quality(odd_docs, spark.createDataFrame([(i, float(i % 3)) for i in range(40)], "doc_id long, grade double"))
+    w = m.weights.astype(np.float32)
+    got = sorted((str(r["doc_id"]), round(r["p_keep"], 4), round(r["expected_grade"], 4)) for r in Q.score_quality(odd_docs, m).collect())
+    want = []
+    for r in odd_docs.select("doc_id", "text").collect():
+        z = sum(float(w[b]) * v for b, v in plain_features(r["text"]).items())
+        tails = [1 / (1 + math.exp(t - z)) for t in m.thresholds]
+        want.append((str(r["doc_id"]), round(tails[0], 4), round(m.grades[0] + sum(t * (b - a) for t, a, b in zip(tails, m.grades, m.grades[1:])), 4)))
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) < 2e-3 and abs(a[2] - b[2]) < 4e-3 for a, b in zip(got, sorted(want))) and len(got) == len(want)
 
-    assert loss(Q.fit_ordinal(rows, y, epochs=10)) < loss(Q.fit_ordinal(rows, y, epochs=1)) < loss(Q.fit_ordinal(rows, y, epochs=0))
+
+def test_words_are_read_to_their_end():
+    a, b = "x1" * 40 + "A!", "x1" * 40 + "?b"
+    assert Q.shapes(a) != Q.shapes(b) and Q.shapes(a)[:3] == Q.shapes(b)[:3] and Q.shapes("***Word,,") == ["*+Aa,+"]
+    f = Q.make_featurizer()
+    assert f(a).tolist() != f(b).tolist()
 
 
 def test_odd_rows_pass(spark, odd_docs, no_docs):
