@@ -73,11 +73,16 @@ def shard_counts(seed: int, shard: int, slots: int, p: np.ndarray) -> np.ndarray
     return np.random.default_rng([seed, shard]).multinomial(slots, p)
 
 
-def place_of(doc_id: int | None, text: str) -> tuple[int, int]:
-    """(hash that deals a document, hash of its text), signed 64-bit."""
-    t = h64(text)
-    h = int(mix(np.array([t if doc_id is None else doc_id & (2**64 - 1)], dtype=np.uint64), 9)[0])
-    return tuple(x - (1 << 64) if x >> 63 else x for x in (h, t))
+def places_of(doc_ids: list, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes that deal the documents, hashes of their texts), signed 64-bit."""
+    t = np.fromiter(map(h64, texts), dtype=np.uint64, count=len(texts))
+    own = np.array([0 if d is None else d for d in doc_ids], dtype=np.int64).view(np.uint64)
+    h = mix(np.where(np.array([d is None for d in doc_ids], dtype=bool), t, own), 9)
+    return h.view(np.int64), t.view(np.int64)
+
+
+def id_type(tokenizer: str) -> str:
+    return "<u2" if max(load_ranks(tokenizer).values()) < 65536 else "<u4"
 
 
 def groups_of(n: int, group_tokens: int) -> int:
@@ -87,39 +92,45 @@ def groups_of(n: int, group_tokens: int) -> int:
 
 def _encode(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = text_encoder(tokenizer)
+        encode, wide = text_encoder(tokenizer), id_type(tokenizer)
         eod = encode(EOD)
         for b in batches:
             for a in range(0, b.num_rows, 1000):
                 part = b.slice(a, 1000)
                 docs, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
                 some = [i for i, t in enumerate(texts) if t and not t.isspace()]
-                ids = [np.array(encode(texts[i]) + eod, dtype="<u4") for i in some]
+                ids = [np.array(encode(texts[i]) + eod, dtype=wide) for i in some]
+                h, th = places_of([docs[i] for i in some], [texts[i] for i in some])
                 at = pa.array(some, pa.int64())
-                places = [place_of(docs[i], texts[i]) for i in some]
-                n = pa.array([len(x) for x in ids], pa.int64())
-                wide = [x.astype("<u2") if not len(x) or x.max() < 65536 else x for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(2).take(at), part.column(3).take(at), pa.array([x for x, _ in places], pa.int64()), pa.array([x for _, x in places], pa.int64()), n, pa.array([x.tobytes() for x in wide], pa.binary())], names=["doc_id", "source", "lang", "h", "th", "n", "ids"])
+                n = pa.array(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(2).take(at), part.column(3).take(at), pa.array(h), pa.array(th), n, pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "source", "lang", "h", "th", "n", "ids"])
 
     return run
 
 
 class _Stream:
-    """The ids of a group's documents, run together in order."""
+    """The ids of a group's documents, run together in order; those before id ``begin`` may be left out."""
 
-    def __init__(self, docs: pd.DataFrame, by_id: np.ndarray | None):
-        null = docs["doc_id"].isna().to_numpy()
-        ids = docs["doc_id"].fillna(0).to_numpy().astype(np.int64)
+    def __init__(self, docs: pa.Table, wide: str, by_id: np.ndarray | None, begin: int = 0):
+        null = docs["doc_id"].is_null().to_numpy()
+        ids = docs["doc_id"].fill_null(0).to_numpy()
+        sizes = docs["n"].to_numpy()
         order = np.lexsort((docs["th"].to_numpy(), ids, ~null))
-        raw, sizes = docs["ids"].to_numpy()[order], docs["n"].to_numpy()[order]
-        self.flat = np.concatenate([np.frombuffer(x, "<u2" if len(x) == 2 * n else "<u4").astype(np.int32) for x, n in zip(raw, sizes)])
-        self.ends, self.doc, self.null, self.lang = np.cumsum(sizes), ids[order], null[order], docs["lang"].to_numpy()[order]
+        ends = np.cumsum(sizes[order])
+        order, self.ends = order[ends > begin], ends[ends > begin]
+        self.doc, self.null, at = ids[order], null[order], pa.array(order)
+        self.base = int(self.ends[0] - sizes[order[0]]) if len(order) else 0
+        self.size, self.lang = int(ends[-1]), docs["lang"].take(at).to_pylist()
+        self.flat = np.frombuffer(b"".join(docs["ids"].take(at).to_pylist()), wide)
         self.by_id = by_id
         if by_id is not None:
             pieces = by_id[self.flat]
             self.bytes = b"".join(pieces)
             self.byte = np.concatenate([[0], np.cumsum(np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)))])
 
+    def ids(self, a: int, z: int) -> np.ndarray:
+        return self.flat[a - self.base : z - self.base]
+
     def docs(self, a: int, z: int) -> tuple[list[int], str | None]:
         """Ids of the documents with an id in [a, z), and the language of the first."""
         i, j = np.searchsorted(self.ends, a, side="right"), np.searchsorted(self.ends, z - 1, side="right")
@@ -128,7 +139,7 @@ class _Stream:
     def text(self, a: int, z: int) -> str | None:
         if self.by_id is None:
             return None
-        i, j = self.byte[a], self.byte[z]
+        i, j = self.byte[a - self.base], self.byte[z - self.base]
         while i < len(self.bytes) and self.bytes[i] & 0xC0 == 0x80:
             i += 1
         while j < len(self.bytes) and self.bytes[j] & 0xC0 == 0x80:
@@ -136,8 +147,19 @@ class _Stream:
         return self.bytes[i:j].decode("utf-8", "replace")
 
 
-def _name(keys) -> str | None:
-    return None if keys[0] is None or keys[0] != keys[0] else keys[0]
+_TYPES = pa.schema([("shard", pa.int64()), ("slot", pa.int32()), ("source", pa.string()), ("block", pa.int64()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lang", pa.string()), ("ids", pa.list_(pa.int32())), ("text", pa.string())])
+_PIECES = pa.schema([("source", pa.string()), ("tail", pa.int64()), ("at", pa.int64()), ("n", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lang", pa.string()), ("ids", pa.binary()), ("text", pa.string())])
+
+
+def _rows(source, right: pa.Table, got: list[tuple], with_text: bool) -> pa.Table:
+    """right: shard, slot, block; got: (ids, doc ids, language, text) of each."""
+    n = np.fromiter((len(x[0]) for x in got), dtype=np.int32, count=len(got))
+    flat = np.concatenate([x[0] for x in got]).astype(np.int32)
+    ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat))
+    columns = {"shard": right["shard"], "slot": right["slot"], "source": pa.array([source] * len(got), pa.string()), "block": right["block"], "n_tokens": pa.array(n), "doc_ids": pa.array([x[1] for x in got], pa.list_(pa.int64())), "lang": pa.array([x[2] for x in got], pa.string()), "ids": ids}
+    if with_text:
+        columns["text"] = pa.array([x[3] for x in got], pa.string())
+    return pa.table(columns)
 
 
 def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block_tokens: int = BLOCK_TOKENS, slots: int | None = None, shard_slots: int = SHARD_SLOTS, alpha: float = ALPHA, seed: int = 0, group_tokens: int = GROUP_TOKENS, tokenizer: str = TOKENIZER, with_text: bool = False) -> DataFrame:
@@ -206,50 +228,43 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     shared = spark.sparkContext.broadcast(_by_id(tokenizer) if with_text else None)
     names_out = [c for c in _COLUMNS if with_text or c != "text"]
 
-    def rows_of(source, right: pd.DataFrame, got: list[tuple]) -> pd.DataFrame:
-        """right: shard, slot, block; got: (ids, doc ids, language, text) of each."""
-        out = pd.DataFrame({"shard": right["shard"], "slot": right["slot"], "source": pd.Series([source] * len(right), dtype=object), "block": right["block"]})
-        out["n_tokens"] = [len(x[0]) for x in got]
-        for c, i in (("doc_ids", 1), ("lang", 2), ("ids", 0), ("text", 3)):
-            out[c] = pd.Series([x[i] for x in got], dtype=object)
-        return out[names_out]
+    none, wide = pa.schema([f for f in _TYPES if f.name in names_out]).empty_table(), id_type(tokenizer)
 
-    def cut(keys, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def cut(keys, left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
-            return pd.DataFrame(columns=names_out, dtype=object)
-        right = right.reset_index(drop=True)
-        s, got = _Stream(left, shared.value), []
-        for b in (right["block"] - right["first"]).to_numpy():
-            a, z = int(b) * block_tokens, int(b + 1) * block_tokens
-            got.append((s.flat[a:z], *s.docs(a, z), s.text(a, z)))
-        return rows_of(_name(keys), right, got)
-
-    def rests(keys, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            return none
+        s, got = _Stream(left, wide, shared.value), []
+        for b in (right["block"].to_numpy() - right["first"].to_numpy()).tolist():
+            a, z = b * block_tokens, (b + 1) * block_tokens
+            got.append((s.ids(a, z), *s.docs(a, z), s.text(a, z)))
+        return _rows(keys[0].as_py(), right, got, with_text)
+
+    def rests(keys, left: pa.Table, right: pa.Table) -> pa.Table:
         """What is left over behind the whole blocks of a group, as pieces of the source's further blocks."""
         if not len(left) or not len(right):
-            return pd.DataFrame(columns=[c.split()[0] for c in _PIECE.split(", ")], dtype=object)
-        s, at = _Stream(left, shared.value), int(right["rest_at"].iloc[0])
-        a, out = len(s.flat) // block_tokens * block_tokens, []
-        while a < len(s.flat):
-            z = min(len(s.flat), a + block_tokens - at % block_tokens)
+            return _PIECES.empty_table()
+        a, at = sum(left["n"].to_pylist()) // block_tokens * block_tokens, right["rest_at"][0].as_py()
+        s, out = _Stream(left, wide, shared.value, a), []
+        while a < s.size:
+            z = min(s.size, a + block_tokens - at % block_tokens)
             ids, lang_ = s.docs(a, z)
-            out.append((_name(keys), at // block_tokens, at % block_tokens, z - a, ids, lang_, s.flat[a:z].astype("<i4").tobytes(), s.text(a, z)))
+            out.append((keys[0].as_py(), at // block_tokens, at % block_tokens, z - a, ids, lang_, s.ids(a, z).astype("<i4").tobytes(), s.text(a, z)))
             a, at = z, at + z - a
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _PIECE.split(", ")])
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), _PIECES)], schema=_PIECES)
 
-    def join_pieces(keys, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def join_pieces(keys, left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
-            return pd.DataFrame(columns=names_out, dtype=object)
-        left, right = left.sort_values("at"), right.reset_index(drop=True)
-        ids = np.concatenate([np.frombuffer(x, "<i4") for x in left["ids"]])
-        one = (ids, list(dict.fromkeys(int(d) for x in left["doc_ids"] for d in x)), left["lang"].iloc[0], "".join(left["text"]) if with_text else None)
-        return rows_of(_name(keys), right, [one] * len(right))
+            return none
+        left = left.sort_by("at").to_pylist()
+        ids = np.frombuffer(b"".join(x["ids"] for x in left), "<i4")
+        one = (ids, list(dict.fromkeys(d for x in left for d in x["doc_ids"])), left[0]["lang"], "".join(x["text"] for x in left) if with_text else None)
+        return _rows(keys[0].as_py(), right, [one] * len(right), with_text)
 
     schema = ", ".join(c for c in _SCHEMA.split(", ") if c.split()[0] in names_out)
-    full = dealt.groupBy("source", "g").cogroup(inside.groupBy("source", "g")).applyInPandas(cut, schema)
+    full = dealt.groupBy("source", "g").cogroup(inside.groupBy("source", "g")).applyInArrow(cut, schema)
     at = per.where("rest > 0").select("source", "g", "rest_at")
-    pieces = dealt.groupBy("source", "g").cogroup(at.groupBy("source", "g")).applyInPandas(rests, _PIECE)  # the same shuffle of ids
-    further = pieces.groupBy("source", "tail").cogroup(placed.where("tail >= 0").groupBy("source", "tail")).applyInPandas(join_pieces, schema)
+    pieces = dealt.groupBy("source", "g").cogroup(at.groupBy("source", "g")).applyInArrow(rests, _PIECE)  # the same shuffle of ids
+    further = pieces.groupBy("source", "tail").cogroup(placed.where("tail >= 0").groupBy("source", "tail")).applyInArrow(join_pieces, schema)
     return full.union(further)
 
 

@@ -5,11 +5,18 @@ stream in small pieces, inflates incrementally, parses a record's headers as soo
 Content-Length bytes as its block, and checks the block digest and, for HTTP messages, the payload digest (sha1, sha256 or
 md5, in base32 or hex). It never holds more than one record and never seeks, so files of any size and object stores work.
 
-Defined cases: a damaged member, a record cut short and a bad length give one row with ``error`` and whatever headers were
-read, and reading goes on at the next gzip member; a digest that is missing or of an unknown kind gives null, a wrong one
-false; records that share a member have its offset, and what follows the last of them and is no record gives a row with ``error``; an empty file gives no row; header names match in any case, the first of repeated ones counts; null content gives
-no row. In writing, null html is marked as truncated and comes back as null, empty html comes back as empty; line breaks
-in a url are percent-encoded; a null url has no header and comes back as null; repeated rows are repeated records.
+Damage: a member that can't be inflated, a record cut short, headers without an end within HEADERS bytes and a bad length give
+one row with ``error`` and whatever headers were read. Reading goes on at the next gzip magic or line that begins with
+``WARC/``, from the byte after the one where the bad record began: raw bytes are kept only from a magic within the member at
+hand on. So each undamaged record comes out, also those that a wrong length or a damaged member would swallow. Bytes
+that are no record give one row with ``error``, however long they are.
+
+Defined cases: a digest that is missing or of an unknown kind gives null, a wrong one false; a block with a wrong digest that
+isn't followed by a line break has a wrong length; records that share a member have its offset; records of any length are
+taken whole; an empty file gives no row; header names match in any case, the first of repeated ones counts; null content gives
+no row, an empty table none; repeated files are read again; columns other than name and content are not read. In writing, null
+html is marked as truncated and comes back as null, empty html comes back as empty; line breaks in a url are percent-encoded;
+a null url has no header and comes back as null; repeated rows are repeated records.
 """
 
 from __future__ import annotations
@@ -17,6 +24,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -25,14 +34,17 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, parallelism, shared_dir, table
 
 PIECE = 1 << 16
 BLOB = 4 << 20
 LEVEL = 5
 SCHEMA = "file string, offset long, warc_type string, record_id string, target_uri string, date string, content_type string, content_length long, truncated string, http_status int, payload binary, block_digest_ok boolean, payload_digest_ok boolean, error string"
 _NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+HEADERS = 1 << 20
 _MAGIC = b"\x1f\x8b\x08"
+_SYNC = re.compile(rb"\x1f\x8b\x08|(?<![^\n])WARC/")
+_LINE = re.compile(rb"\nWARC/")
 
 
 class _Stream:
@@ -56,83 +68,128 @@ class _Stream:
             self.held += more
         return self.held[:n]
 
-    def skip_to_member(self) -> None:
-        """On to the next gzip magic behind the byte at hand."""
-        data = self.read()[1:]
-        while data:
-            at = data.find(_MAGIC)
-            if at >= 0:
-                self.back(data[at:])
+    def resync(self) -> None:
+        """On to the next place where a record may begin, the byte at hand included."""
+        tail = b""
+        while new := self.read():
+            data = tail + new
+            found = _SYNC.search(data, 1 if tail else 0)
+            if found:
+                self.back(data[found.start() :])
                 return
-            more = self.raw.read(PIECE)
-            self.offset += len(more)
-            data = data[-2:] + more if more else b""
+            tail = data[-7:]
 
 
-class _Member:
-    """Inflated bytes of one gzip member, or the plain stream."""
+class _Plain:
+    """The stream itself as the bytes of records; ``taken`` are those of the record at hand."""
 
-    def __init__(self, stream: _Stream, plain: bool):
-        self.stream, self.plain, self.buffer, self.ended = stream, plain, b"", False
-        self.z = None if plain else zlib.decompressobj(31)
+    def __init__(self, stream: _Stream):
+        self.stream, self.buffer, self.taken, self.ended = stream, b"", [], False
 
     def more(self) -> bool:
-        if self.ended:
-            return False
-        data = self.stream.read()
-        if not data:
-            self.ended = True
-            if not self.plain and not self.z.eof:
-                raise ValueError("gzip member cut short")
-            return False
-        if self.plain:
-            self.buffer += data
-            return True
-        try:
-            self.buffer += self.z.decompress(data)
-        except zlib.error:
-            self.stream.back(data)
-            raise
-        if self.z.eof:
-            self.ended = True
-            self.stream.back(self.z.unused_data)
-        return True
+        data = b"" if self.ended else self.stream.read()
+        self.ended |= not data
+        self.buffer += data
+        return bool(data)
 
-    def until(self, mark: bytes) -> bytes | None:
+    def until(self, mark: bytes, most: int) -> bytes:
         at = 0
         while (found := self.buffer.find(mark, at)) < 0:
             at = max(0, len(self.buffer) - len(mark))
-            if not self.more():
-                return None
-        out, self.buffer = self.buffer[: found + len(mark)], self.buffer[found + len(mark) :]
-        return out
+            if len(self.buffer) > most or not self.more():
+                raise ValueError("no end of headers")
+        return self.exactly(found + len(mark))
 
     def exactly(self, n: int) -> bytes:
         parts, have = [self.buffer[:n]], min(n, len(self.buffer))
         self.buffer = self.buffer[n:]
         while have < n:
             if not self.more():
+                self.taken += parts
                 raise ValueError(f"block has {have} of {n} bytes")
             parts.append(self.buffer[: n - have])
             have += len(parts[-1])
             self.buffer = self.buffer[len(parts[-1]) :]
+        self.taken += parts
         return b"".join(parts)
 
+    def ahead(self, n: int) -> bytes:
+        while len(self.buffer) < n and self.more():
+            pass
+        return self.buffer[:n]
+
     def strip_breaks(self) -> None:
         while True:
             self.buffer = self.buffer.lstrip(b"\r\n")
             if self.buffer or not self.more():
                 return
 
-    def finish(self) -> bool:
-        """Past the end of a record: whether more than line breaks follow in the member."""
-        if self.plain:
-            self.stream.back(self.buffer)
-            self.buffer = b""
+    def next(self) -> bool:
+        """Behind a record: the rest goes back to the stream."""
+        self.taken = []
+        self.stream.back(self.buffer)
+        return False
+
+    def recover(self) -> bool:
+        """Behind damage: on from the second byte of the record."""
+        self.stream.back(self.buffer)
+        self.stream.back(b"".join(self.taken)[1:])
+        if not self.taken:
+            self.stream.back(self.stream.read()[1:])
+        self.stream.resync()
+        return False
+
+
+class _Member(_Plain):
+    """The inflated bytes of one gzip member."""
+
+    def __init__(self, stream: _Stream):
+        super().__init__(stream)
+        self.z, self.tail, self.kept = zlib.decompressobj(31), b"", b""
+
+    def more(self) -> bool:
+        if self.ended:
+            return False
+        data = self.stream.read()
+        if not data:
+            self.ended = True
+            raise zlib.error("gzip member cut short")
+        if self.kept:
+            self.kept += data
         else:
-            self.strip_breaks()
+            seen = self.tail + data
+            found = _SYNC.search(seen, 1)
+            self.kept = seen[found.start() :] if found else b""
+            self.tail = (seen if self.tail else seen[1:])[-7:]
+        self.buffer += self.z.decompress(data)
+        if self.z.eof:
+            self.ended, self.kept = True, b""
+            self.stream.back(self.z.unused_data)
+        return True
+
+    def next(self) -> bool:
+        """Behind a record: whether more than line breaks follow in the member."""
+        self.taken = []
+        self.strip_breaks()
         return bool(self.buffer)
 
+    def recover(self) -> bool:
+        """Behind a bad record: whether the member has a line with which another one may begin."""
+        self.buffer, self.taken = (b"".join(self.taken) + self.buffer)[1:], []
+        while True:
+            found = _LINE.search(self.buffer)
+            if found:
+                self.buffer = self.buffer[found.end() - 5 :]
+                return True
+            self.buffer = self.buffer[-6:]
+            if not self.more():
+                return False
+
+    def abandon(self) -> None:
+        """Behind bytes that can't be inflated: on from the next magic within the member, or behind it."""
+        self.stream.back(self.kept or self.tail)
+        self.stream.resync()
+
 
 def digest_matches(digest: str | None, data: bytes) -> bool | None:
     if not digest or ":" not in digest:
@@ -159,49 +216,60 @@ def _headers(raw: bytes) -> tuple[str, dict[str, str]]:
     return first, out
 
 
+def _record(m: _Plain, row: dict) -> None:
+    """Fills in the row of the record that m is at."""
+    m.strip_breaks()
+    if m.ahead(5) != b"WARC/":
+        raise ValueError("not a WARC record")
+    _, h = _headers(m.until(b"\r\n\r\n", HEADERS))
+    row |= {"warc_type": h.get("warc-type"), "record_id": h.get("warc-record-id"), "target_uri": h.get("warc-target-uri"), "date": h.get("warc-date"), "content_type": h.get("content-type"), "truncated": h.get("warc-truncated")}
+    length = h.get("content-length", "")
+    if not (length.isascii() and length.isdigit() and len(length) < 19):
+        raise ValueError("bad Content-Length")
+    row["content_length"] = int(length)
+    block = m.exactly(int(length))
+    row["block_digest_ok"] = digest_matches(h.get("warc-block-digest"), block)
+    if row["block_digest_ok"] is False and m.ahead(1)[:1] not in (b"\r", b"\n", b""):
+        raise ValueError("Content-Length and digest are wrong")
+    payload = block
+    if (row["content_type"] or "").startswith("application/http"):
+        http, sep, body = block.partition(b"\r\n\r\n")
+        if sep:
+            status = http.split(b"\r\n", 1)[0].split()
+            row["http_status"] = int(status[1]) if len(status) > 1 and status[0].startswith(b"HTTP/") and re.fullmatch(rb"[0-9]{1,9}", status[1]) else None
+            payload = body
+    row["payload_digest_ok"] = digest_matches(h.get("warc-payload-digest"), payload)
+    row["payload"] = None if row["truncated"] and not block else payload
+
+
 def read_records(raw, file: str = "") -> Iterator[dict]:
     """Rows of SCHEMA out of a binary stream with ``read(n)``."""
-    stream, m, more = _Stream(raw), None, False
-    while more or (start := stream.peek(3)):
-        if not more:
-            if start[:1] in b"\r\n":
-                stream.back(stream.read().lstrip(b"\r\n"))
-                continue
-            at, plain = stream.offset, start[:2] != _MAGIC[:2]
-            m = _Member(stream, plain)
-        more, row = False, dict.fromkeys(_NAMES) | {"file": file, "offset": at}
-        try:
-            m.strip_breaks()
-            head = m.until(b"\r\n\r\n")
-            if head is None:
-                raise ValueError("no end of headers")
-            version, h = _headers(head)
-            if not version.startswith("WARC/"):
-                raise ValueError("not a WARC record")
-            row |= {"warc_type": h.get("warc-type"), "record_id": h.get("warc-record-id"), "target_uri": h.get("warc-target-uri"), "date": h.get("warc-date"), "content_type": h.get("content-type"), "truncated": h.get("warc-truncated")}
-            length = h.get("content-length", "")
-            if not length.isdigit():
-                raise ValueError("bad Content-Length")
-            row["content_length"] = int(length)
-            block = m.exactly(int(length))
-            row["block_digest_ok"] = digest_matches(h.get("warc-block-digest"), block)
-            payload = block
-            if (row["content_type"] or "").startswith("application/http"):
-                http, sep, body = block.partition(b"\r\n\r\n")
-                if sep:
-                    status = http.split(b"\r\n", 1)[0].split()
-                    row["http_status"] = int(status[1]) if len(status) > 1 and status[0].startswith(b"HTTP/") and status[1].isdigit() else None
-                    payload = body
-            row["payload_digest_ok"] = digest_matches(h.get("warc-payload-digest"), payload)
-            row["payload"] = None if row["truncated"] and not block else payload
-            more = m.finish()
-            yield row
-        except (ValueError, zlib.error, UnicodeError) as e:
-            yield row | {"error": str(e)[:200], "payload": None}
-            if plain:
-                stream.skip_to_member()
-            elif not m.ended:
-                stream.skip_to_member()
+    stream, lost = _Stream(raw), False
+    while start := stream.peek(3):
+        if start[:1] in b"\r\n":
+            stream.back(stream.read().lstrip(b"\r\n"))
+            continue
+        at, more = stream.offset, True
+        m = _Member(stream) if start[:2] == _MAGIC[:2] else _Plain(stream)
+        while more:
+            row = dict.fromkeys(_NAMES) | {"file": file, "offset": at}
+            try:
+                _record(m, row)
+                lost = False
+                yield row
+                more = m.next()
+            except (ValueError, zlib.error) as e:
+                if not lost or row["record_id"] or row["warc_type"]:
+                    yield row | {"error": str(e)[:200], "payload": None}
+                lost = True
+                if isinstance(e, ValueError):
+                    try:
+                        more = m.recover()
+                        continue
+                    except zlib.error:
+                        pass
+                m.abandon()
+                more = False
 
 
 def _batched(rows: Iterator[dict]) -> Iterator[pd.DataFrame]:
@@ -233,18 +301,18 @@ def read_warc(files: DataFrame, content: str = "content", name: str = "name") ->
     return files.select(F.col(name).alias("f"), F.col(content).alias("c")).mapInPandas(run, SCHEMA)
 
 
-def read_warc_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Records of WARC files by path or URI, each streamed by one task and never held whole."""
+def read_warc_files(files: DataFrame, path: str = "path") -> DataFrame:
+    """Records of WARC files given by path or URI, each streamed by one task and never held whole; null paths give nothing."""
 
     def run(batches):
         for b in batches:
-            for path in b["path"]:
-                fs, at = pafs.FileSystem.from_uri(path if "://" in path else "file://" + path)
-                with fs.open_input_stream(at, compression=None) as s:
-                    yield from _batched(read_records(s, path))
+            for p in b["path"]:
+                if p is not None:
+                    fs, at = pafs.FileSystem.from_uri(p if "://" in p else "file://" + p)
+                    with fs.open_input_stream(at, compression=None) as s:
+                        yield from _batched(read_records(s, p))
 
-    listed = spark.createDataFrame([(p,) for p in paths], "path string")
-    return listed.repartition(max(1, len(paths)), "path").mapInPandas(run, SCHEMA)
+    return files.select(F.col(path).alias("path")).repartition(parallelism(files.sparkSession)).mapInPandas(run, SCHEMA)
 
 
 def record(page_id, url: str | None, html: str | None, level: int = LEVEL) -> bytes:
@@ -282,9 +350,25 @@ def write_warc(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInPandas(run, "name string, content binary")
 
 
+def write_warc_files(pages: DataFrame, folder: str) -> DataFrame:
+    """(path): WARC files in a folder; a file for every row of write_warc. Paths of tasks that failed aren't among the rows."""
+
+    def run(batches):
+        fs, base = pafs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
+        fs.create_dir(base, recursive=True)
+        for b in batches:
+            for content in b["content"]:
+                name = f"{uuid.uuid4().hex}.warc.gz"
+                with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
+                    out.write(content)
+                yield pd.DataFrame({"path": [f"{folder}/{name}"]})
+
+    return materialize(write_warc(pages).mapInPandas(run, "path string"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages through WARC files and back."""
-    r = read_warc(write_warc(table(spark, sf_dir, "pages")))
+    """All pages through WARC files in the shared folder and back."""
+    r = read_warc_files(write_warc_files(table(spark, sf_dir, "pages"), shared_dir(spark)))
     return r.select(F.regexp_extract("record_id", r"urn:page:(\d+)", 1).try_cast("long").alias("page_id"), F.col("target_uri").alias("url"), F.decode("payload", "UTF-8").alias("html"), "http_status", "block_digest_ok", "payload_digest_ok")
 
 

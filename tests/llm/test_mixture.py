@@ -38,7 +38,7 @@ def brute(rows, slots=None, weights=None, block=8, shard=4, seed=3, group_tokens
     by, eod = {}, ENCODE.encode_ordinary(M.EOD)
     for i, text, lang, source in rows:
         if text and text.strip():
-            h, t = M.place_of(i, text)
+            h, t = (int(x[0]) for x in M.places_of([i], [text]))
             by.setdefault(source, []).append((h, (i is not None, i or 0, t), i, lang, ENCODE.encode_ordinary(text) + eod))
     names, blocks, size = sorted(by, key=lambda s: (s is not None, s)), {}, {}
     for s in names:

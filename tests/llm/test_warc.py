@@ -64,6 +64,42 @@ def test_records_in_one_member(n):
     assert [(x["payload"], x["error"] is None) for x in rows] == [(b"a", True), (None, False), (b"d", True)]
 
 
+@pytest.mark.parametrize("n", [1, 7, 1000, 1 << 20])
+def test_every_undamaged_record_comes_out(n):
+    r = random.Random(5)
+    good = [gzip.compress(raw(bytes(r.randrange(256) for _ in range(200)) + b"%d" % i)) for i in range(4)]
+    plain = [raw(b"plain %d" % i) for i in range(3)]
+    spoiled = bytearray(gzip.compress(raw(bytes(r.randrange(256) for _ in range(5000)))))
+    spoiled[2000:2040] = b"\x00" * 40
+    short = raw(b"abc", **{"Content-Length": "2"})
+    long = raw(b"abc", **{"Content-Length": "90"})
+    beyond = raw(b"abc", **{"Content-Length": "99999"})
+    none = raw(b"abc", **{"Content-Length": None})
+    cases = [
+        ([good[0], b"garbage bytes", good[1], good[2]], 3),
+        ([plain[0].replace(b"Content-Length", b"Nothing"), good[0], good[1]], 2),
+        ([none, plain[0], plain[1]], 2),
+        ([short, plain[0], good[0]], 2),
+        ([long, plain[0], plain[1]], 2),
+        ([beyond, plain[0], good[0], plain[1]], 3),
+        ([good[0], bytes(spoiled), good[1], bytes(spoiled)[:3000], good[2], plain[0]], 4),
+        ([bytes(spoiled)[:3000], b"\n", plain[0], good[0]], 2),
+        ([gzip.compress(raw(b"x") + raw(b"y", **{"Content-Length": "z"}) + raw(b"w")), good[0]], 3),
+        ([b"\x1f\x8b\x08\x00rubbish\n", plain[0], b"WARC", good[0], b"no end"], 2),
+    ]
+    for parts, want in cases:
+        rows = list(W.read_records(Slow(b"".join(parts), n)))
+        assert sum(x["error"] is None and x["block_digest_ok"] for x in rows) == want, parts
+        assert any(x["error"] for x in rows)
+    rows = list(W.read_records(Slow(good[0] + b"garbage" * 50_000 + good[1], max(n, 1000))))
+    assert [x["error"] is None for x in rows] == [True, False, True]
+
+
+def test_headers_without_end():
+    rows = list(W.read_records(io.BytesIO(b"WARC/1.0\r\n" + b"a: b\r\n" * 400_000 + raw(b"ok"))))
+    assert [x["error"] is None for x in rows] == [False, True]
+
+
 def test_digests():
     rows = list(W.read_records(io.BytesIO(raw(b"a") + raw(b"a", **{"WARC-Block-Digest": sha(b"b")}) + raw(b"a", **{"WARC-Block-Digest": None}) + raw(b"a", **{"WARC-Block-Digest": "sha256:" + hashlib.sha256(b"a").hexdigest()}) + raw(b"a", **{"WARC-Block-Digest": "crc:1"}))))
     assert [x["block_digest_ok"] for x in rows] == [True, False, None, True, None]
@@ -99,5 +135,7 @@ def test_round_trip(spark, pages):
 def test_files(spark, pages, tmp_path):
     for r in W.write_warc(pages.repartition(2)).collect():
         (tmp_path / f"{abs(hash(r['content']))}.warc.gz").write_bytes(r["content"])
-    files = [str(p) for p in tmp_path.iterdir()]
-    assert W.read_warc_files(spark, files).count() == pages.count()
+    files = [(str(p),) for p in tmp_path.iterdir()] + [(None,)]
+    assert W.read_warc_files(spark.createDataFrame(files, "path string")).count() == pages.count()
+    again = W.read_warc_files(W.write_warc_files(pages, str(tmp_path / "more")))
+    assert again.count() == pages.count() and again.where("error is not null").count() == 0
