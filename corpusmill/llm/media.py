@@ -5,7 +5,8 @@ the start of the file, or the OpenDML ``ix##`` chunks, or, where neither is soun
 if it covers every frame chunk found in the ``movi`` lists of all segments (``AVI `` and ``AVIX``); else its sound entries and the
 chunks found are taken together, by place. Every
 frame is an intra frame: a baseline JPEG (grey or colour, any sampling, restart markers, default Huffman tables where the
-file leaves them out), of which the luma plane is decoded. Consecutive luma histograms are compared by the earth mover's
+file leaves them out), of which the luma plane is decoded. Frames with the same header, of whatever film, are decoded side by side, a
+symbol of each restart interval at a time. Consecutive luma histograms are compared by the earth mover's
 distance, as a share of the full range; a cut is where it reaches FLOOR and exceeds the median of its neighbourhood
 by SPREAD median deviations and by its own height, so the bar follows the movement in the scene. Of cuts less than MIN_SHOT frames apart the
 strongest stays, the earlier on a tie.
@@ -14,14 +15,18 @@ Rows: key, clip (0, 1, ..), first_frame, last_frame, start_s, end_s, n_frames, b
 Defined cases: null or empty content, content that is no AVI, and an AVI without a frame of its video stream give one row
 with ``error`` and null clip; a frame that can't be decoded takes the histogram of the frame before it and counts in
 ``bad_frames``; an empty frame chunk repeats the frame before it (a dropped frame) and isn't bad; a file cut short gives the frames that are
-there; a frame rate of zero counts as 25; repeated rows give their clips again; null keys are kept; other columns are not read.
+there; lists may be nested to any depth; a frame rate of zero counts as 25; very long films are decoded in parts; of equal
+differences the earlier is the cut; an empty table gives no row; repeated rows give their clips again; null keys are kept; other
+columns are not read.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 import struct
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -35,6 +40,7 @@ FLOOR = 0.06
 SPREAD = 6.0
 WINDOW = 12
 MIN_SHOT = 3
+ROOM, PIXELS, SIDE_BY_SIDE = 16 << 20, 4 << 20, 16
 _ZIGZAG = np.array([0, 1, 8, 16, 9, 2, 3, 10, 17, 24, 32, 25, 18, 11, 4, 5, 12, 19, 26, 33, 40, 48, 41, 34, 27, 20, 13, 6, 7, 14, 21, 28, 35, 42, 49, 56, 57, 50, 43, 36, 29, 22, 15, 23, 30, 37, 44, 51, 58, 59, 52, 45, 38, 31, 39, 46, 53, 60, 61, 54, 47, 55, 62, 63])
 # the tables of annex K of the JPEG standard: code counts by length and symbols
 _DC0 = (bytes([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]), bytes(range(12)))
@@ -44,6 +50,7 @@ _AC1 = (bytes([0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119]), bytes.fromhex
 _QUANT = np.array([16, 11, 10, 16, 24, 40, 51, 61, 12, 12, 14, 19, 26, 58, 60, 55, 14, 13, 16, 24, 40, 57, 69, 56, 14, 17, 22, 29, 51, 87, 80, 62, 18, 22, 37, 56, 68, 109, 103, 77, 24, 35, 55, 64, 81, 104, 113, 92, 49, 64, 78, 87, 103, 121, 120, 101, 72, 92, 95, 98, 112, 100, 103, 99])
 _k = np.arange(8)
 _DCT = np.cos((2 * _k[None, :] + 1) * _k[:, None] * np.pi / 16) * np.where(_k == 0, np.sqrt(1 / 8), 0.5)[:, None]
+_INVERSE = np.kron(_DCT, _DCT)[_ZIGZAG]  # coefficients in zigzag order @ this = the block's pixels
 
 
 @functools.lru_cache(64)
@@ -74,7 +81,7 @@ class _Bits:
         more = self.data[self.at : self.at + 6]
         self.acc = (self.acc & ((1 << self.n) - 1)) << (8 * len(more)) | int.from_bytes(more, "big")
         self.n += 8 * len(more)
-        self.at += 6
+        self.at += len(more)
 
     def block(self, out: list[int], dc: list[int], ac: list[int], before: int) -> int:
         """Coefficients of one block in zigzag order; gives its DC value."""
@@ -110,11 +117,41 @@ class _Bits:
         return before
 
 
-def decode_luma(data: bytes) -> np.ndarray:
-    """Luma plane (uint8) of a baseline JPEG; ValueError if it can't be decoded."""
+class _Header(NamedTuple):
+    """All that precedes the scan of a frame: sizes in blocks, (blocks in a unit, tables) of the components, luma first."""
+
+    at: int
+    height: int
+    width: int
+    down: int  # luma blocks of a unit, down and across
+    across: int
+    rows: int
+    cols: int
+    restart: int
+    comps: tuple
+    scale: np.ndarray
+
+
+_KNOWN: dict[bytes, _Header] = {}
+
+
+def _header(data: bytes) -> _Header:
+    """Headers are kept by their bytes, as the frames of a film share one."""
+    k = data.find(b"\xff\xda")
+    head = data[: k + 2 + int.from_bytes(data[k + 2 : k + 4], "big")] if k > 0 else b""
+    if head in _KNOWN:
+        return _KNOWN[head]
+    found = _parse_header(data)
+    if len(_KNOWN) > 500:
+        _KNOWN.clear()
+    _KNOWN[data[: found.at]] = found
+    return found
+
+
+def _parse_header(data: bytes) -> _Header:
     if data[:2] != b"\xff\xd8":
         raise ValueError("no JPEG")
-    quant, dc, ac = {}, {0: _lookup(*_DC0), 1: _lookup(*_DC1)}, {0: _lookup(*_AC0), 1: _lookup(*_AC1)}
+    quant, dc, ac = {}, {0: _DC0, 1: _DC1}, {0: _AC0, 1: _AC1}
     at, frame, restart = 2, None, 0
     while True:
         at = data.find(b"\xff", at)
@@ -125,7 +162,7 @@ def decode_luma(data: bytes) -> np.ndarray:
             at += 1 if kind == 0xFF else 2
             continue
         size = int.from_bytes(data[at + 2 : at + 4], "big")
-        part, at = data[at + 4 : at + 2 + size], at + 2 + size
+        part, at = data[at + 4 : at + 2 + size], at + 2 + max(size, 2)
         if kind == 0xDB:
             while part:
                 wide = 2 if part[0] >> 4 else 1
@@ -136,14 +173,15 @@ def decode_luma(data: bytes) -> np.ndarray:
         elif kind == 0xC4:
             while len(part) > 16:
                 n = sum(part[1:17])
-                (ac if part[0] >> 4 else dc)[part[0] & 15] = _lookup(part[1:17], part[17 : 17 + n])
+                (ac if part[0] >> 4 else dc)[part[0] & 15] = (part[1:17], part[17 : 17 + n])
+                _lookup(part[1:17], part[17 : 17 + n])
                 part = part[17 + n :]
         elif kind in (0xC0, 0xC1):
             if len(part) < 6 or part[0] != 8 or len(part) < 6 + 3 * part[5]:
                 raise ValueError("not an 8-bit baseline frame")
             h, w = struct.unpack(">HH", part[1:5])
             frame = [(part[6 + 3 * i], part[7 + 3 * i] >> 4, part[7 + 3 * i] & 15, part[8 + 3 * i]) for i in range(part[5])]
-            if not h or not w or not frame or any(not a or not b for _, a, b, _ in frame):
+            if not h or not w or not frame or any(not a or not b or a > 4 or b > 4 for _, a, b, _ in frame):
                 raise ValueError("no size")
         elif kind in (0xC2, 0xC3, *range(0xC5, 0xC8), *range(0xC9, 0xD0)):
             raise ValueError("not baseline")
@@ -153,70 +191,146 @@ def decode_luma(data: bytes) -> np.ndarray:
             break
         elif kind == 0xD9:
             raise ValueError("no scan")
-    if frame is None or len(part) < 1 + 2 * part[0] or part[0] != len(frame):
+    if frame is None or len(part) < 1 or len(part) < 1 + 2 * part[0] or part[0] != len(frame):
         raise ValueError("scan without all components")
     chosen = {part[1 + 2 * i]: (part[2 + 2 * i] >> 4, part[2 + 2 * i] & 15) for i in range(part[0])}
     hm, vm = max(f[1] for f in frame), max(f[2] for f in frame)
     if len(frame) == 1:  # a lone component isn't interleaved
         frame, hm, vm = [(frame[0][0], 1, 1, frame[0][3])], 1, 1
-    cols, rows = -(-w // (8 * hm)), -(-h // (8 * vm))
-    intervals = [b""]
-    body, i = data[at:], 0
-    while (j := body.find(b"\xff", i)) >= 0 and j + 1 < len(body):
-        k = body[j + 1]
-        if k == 0:
-            intervals[-1] += body[i : j + 1]
-        elif 0xD0 <= k <= 0xD7:
-            intervals[-1] += body[i:j]
-            intervals.append(b"")
-        else:
-            intervals[-1] += body[i:j]
-            i = len(body)
-            break
-        i = j + 2
-    intervals[-1] += body[i:]
-    comps = []
     try:
-        for c, a, b, q in frame:
-            d, e = chosen[c]
-            comps.append((a * b, dc[d], ac[e]))
+        comps = tuple((a * b, dc[chosen[c][0]], ac[chosen[c][1]]) for c, a, b, _ in frame)
         scale = quant[frame[0][3]]
     except KeyError:
         raise ValueError("missing table") from None
-    luma, last, done, total = [], [0] * len(comps), 0, cols * rows
-    for data_ in intervals:
-        bits, last = _Bits(data_), [0] * len(comps)
-        for _ in range(min(restart or total, total - done)):
+    a, b = frame[0][1], frame[0][2]
+    return _Header(at, -(-h * b // vm), -(-w * a // hm), b, a, -(-h // (8 * vm)), -(-w // (8 * hm)), restart, comps, scale)
+
+
+def _intervals(data: bytes, h: _Header) -> list[tuple[bytes, int]]:
+    """(bytes without stuffing, units) of the restart intervals of a frame; ValueError if there are too few."""
+    body = data[h.at :]
+    end = _MARKER.search(body)
+    body, total = body[: end.start()] if end else body, h.rows * h.cols
+    parts = _RESTART.split(body) if h.restart else [body]
+    step = h.restart or total
+    if len(parts) < -(-total // step):
+        raise ValueError("scan cut short")
+    return [(parts[i].replace(b"\xff\x00", b"\xff"), min(step, total - i * step)) for i in range(-(-total // step))]
+
+
+_MARKER, _RESTART = re.compile(rb"\xff[^\x00\xd0-\xd7]"), re.compile(rb"\xff[\xd0-\xd7]")
+
+
+def _pixels(blocks: np.ndarray, h: _Header) -> np.ndarray:
+    """Luma planes (frames, height, width) out of coefficients (frames * blocks, 64) in zigzag order."""
+    y = np.clip(np.rint((blocks * h.scale) @ _INVERSE + 128), 0, 255).astype(np.uint8)
+    y = y.reshape(-1, h.rows, h.cols, h.down, h.across, 8, 8).transpose(0, 1, 3, 5, 2, 4, 6)
+    return y.reshape(len(y), h.rows * h.down * 8, h.cols * h.across * 8)[:, : h.height, : h.width]
+
+
+def decode_luma(data: bytes) -> np.ndarray:
+    """Luma plane (uint8) of a baseline JPEG; ValueError if it can't be decoded. Symbol by symbol: for few frames."""
+    h = _header(data)
+    comps = [(n, _lookup(*d), _lookup(*e)) for n, d, e in h.comps]
+    luma = []
+    for part, units in _intervals(data, h):
+        bits, last = _Bits(part), [0] * len(comps)
+        for _ in range(units):
             for i, (n, d, e) in enumerate(comps):
                 for _ in range(n):
                     out = [0] * 64
                     last[i] = bits.block(out, d, e, last[i])
                     if not i:
                         luma.append(out)
-            done += 1
-        if done == total:
-            break
-    if done < total:
-        raise ValueError("scan cut short")
-    a, b = frame[0][1], frame[0][2]
-    c = np.zeros((len(luma), 64))
-    c[:, _ZIGZAG] = np.array(luma) * scale
-    pixels = np.clip(np.rint(_DCT.T @ c.reshape(-1, 8, 8) @ _DCT + 128), 0, 255).astype(np.uint8)
-    plane = pixels.reshape(rows, cols, b, a, 8, 8).transpose(0, 2, 4, 1, 3, 5).reshape(rows * b * 8, cols * a * 8)
-    return plane[: -(-h * b // vm), : -(-w * a // hm)]
+        if 8 * bits.at - bits.n > 8 * len(part):
+            raise ValueError("scan cut short")
+    return _pixels(np.array(luma, dtype=np.float64), h)[0]
+
+
+@functools.lru_cache(64)
+def _tables(comps: tuple) -> np.ndarray:
+    """Look-up tables of all components, DC and AC in turn."""
+    return np.array([_lookup(*t) for _, d, e in comps for t in (d, e)], dtype=np.int32)
+
+
+def decode_alike(frames: list[bytes], h: _Header) -> tuple[np.ndarray, np.ndarray]:
+    """(luma planes, whether each could be decoded) of frames of one header: all restart intervals go on side by side."""
+    parts, of, units, first = [], [], [], []
+    good, per = np.ones(len(frames), dtype=bool), h.down * h.across
+    for f, data in enumerate(frames):
+        try:
+            done = 0
+            for part, n in _intervals(data, h):
+                parts.append(part + b"\xff" * 8)
+                of.append(f)
+                units.append(n)
+                first.append((f * h.rows * h.cols + done) * per)
+                done += n
+        except ValueError:
+            good[f] = False
+    coef = np.zeros((len(frames) * h.rows * h.cols * per, 64), dtype=np.int32)
+    if not parts:
+        return _pixels(coef, h), good
+    size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+    begin, buf = np.cumsum(size) - size, np.frombuffer(b"".join(parts) + b"\xff" * 8, np.uint8).astype(np.uint64)
+    comp_of = np.repeat(np.arange(len(h.comps)), [n for n, _, _ in h.comps])  # of the blocks of a unit
+    wide, table_ = len(comp_of), _tables(h.comps)
+    of, units, luma = np.array(of), np.array(units), np.array(first)
+    at, end, lane = begin * 8, (begin + size - 8) * 8, np.arange(len(parts))
+    k, block, before = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64), np.zeros((len(parts), len(h.comps)), np.int64)
+    final = np.zeros(len(parts), dtype=np.int64)
+    broken = np.zeros(len(parts), dtype=bool)
+    while len(lane):
+        byte = np.minimum(at >> 3, len(buf) - 5)
+        w = buf[byte] << np.uint64(32) | buf[byte + 1] << np.uint64(24) | buf[byte + 2] << np.uint64(16) | buf[byte + 3] << np.uint64(8) | buf[byte + 4]
+        v = (w >> (8 - (at & 7)).astype(np.uint64)).astype(np.int64) & 0xFFFFFFFF
+        c = comp_of[block % wide]
+        is_dc = k == 0
+        x = table_[2 * c + ~is_dc, v >> 16]
+        length, x = x >> 8, x & 255
+        bits = np.where(is_dc, x, x & 15)
+        run = np.where(is_dc, 0, x >> 4)
+        bad = (length == 0) | (bits > 15)
+        bits = np.minimum(bits, 15)
+        value = (v >> (32 - length - bits)) & ((1 << bits) - 1)
+        value = np.where((bits > 0) & (value < (1 << bits >> 1)), value - (1 << bits) + 1, value)
+        at = at + length + bits
+        stop, skip = ~is_dc & (bits == 0) & (run != 15), ~is_dc & (bits == 0) & (run == 15)
+        k = k + np.where(skip, 16, run)
+        put = ~stop & ~skip
+        bad |= put & (k > 63)
+        d = np.flatnonzero(is_dc)
+        before[d, c[d]] += value[d]
+        value[d] = before[d, c[d]]
+        s = np.flatnonzero(put & ~bad & (c == 0))
+        coef[luma[s] + block[s] // wide * per + block[s] % wide, k[s]] = value[s]
+        k = k + put
+        done = stop | (k >= 64)
+        block, k = block + done, np.where(done, 0, k)
+        out = bad | (done & (block >= units * wide)) | (at > end + 64)
+        if out.any():
+            broken[lane[out]], final[lane[out]] = bad[out], at[out] - end[out]
+            on = ~out
+            at, end, lane, k, block, units, luma, before = at[on], end[on], lane[on], k[on], block[on], units[on], luma[on], before[on]
+    good[of[broken | (final > 0)]] = False
+    return _pixels(coef.astype(np.float64), h), good
 
 
 def _tree(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, bytes, int, int]]:
     """(id, list kind, begin, end) of the chunks in data[at:end], those of lists before the lists' own contents."""
-    while at + 8 <= end:
-        kind, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
-        stop = min(at + 8 + size, end)
-        if kind in (b"RIFF", b"LIST"):
-            yield kind, data[at + 8 : at + 12], at + 12, stop
-            yield from _tree(data, at + 12, stop)
-        else:
-            yield kind, b"", at + 8, stop
-        at += 8 + size + (size & 1)
+    todo = [(at, end)]
+    while todo:
+        at, end = todo.pop()
+        while at + 8 <= end:
+            kind, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
+            stop, begin = min(at + 8 + size, end), at
+            at += 8 + size + (size & 1)
+            if kind in (b"RIFF", b"LIST"):
+                yield kind, data[begin + 8 : begin + 12], begin + 12, stop
+                todo.append((at, end))
+                at, end = begin + 12, stop
+            else:
+                yield kind, b"", begin + 8, stop
 
 
 def parse_avi(data: bytes) -> tuple[float, list[bytes]]:
@@ -275,19 +389,38 @@ def parse_avi(data: bytes) -> tuple[float, list[bytes]]:
     return rate, [data[o : o + n] for o, n in entries]
 
 
-def histograms(frames: list[bytes]) -> tuple[np.ndarray, int]:
-    """(normalised luma histogram of each frame, number of frames that can't be decoded)."""
-    out, bad = np.zeros((len(frames), BINS)), 0
+def _count(planes: np.ndarray) -> np.ndarray:
+    """Normalised luma histogram of each plane."""
+    n = planes[0].size
+    flat = (planes // (256 // BINS)).reshape(len(planes), -1).astype(np.int64) + np.arange(len(planes))[:, None] * BINS
+    return np.bincount(flat.ravel(), minlength=len(planes) * BINS).reshape(-1, BINS) / n
+
+
+def histograms(frames: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(normalised luma histogram of each frame, whether it was decoded; an empty frame is, as nothing)."""
+    out, good, alike = np.zeros((len(frames), BINS)), np.zeros(len(frames), dtype=bool), {}
     for i, f in enumerate(frames):
         try:
             if f:
-                y = decode_luma(f)
-                out[i] = np.bincount(y.ravel() // (256 // BINS), minlength=BINS) / y.size
-                continue
+                alike.setdefault(id(h := _header(f)), (h, []))[1].append(i)
+            else:
+                good[i] = True
         except (ValueError, IndexError):
-            bad += 1
-        out[i] = out[i - 1] if i else 0
-    return out, bad
+            pass
+    for h, at in alike.values():
+        step = max(1, PIXELS // (64 * h.rows * h.cols * h.down * h.across))
+        for a in range(0, len(at), step):
+            some = at[a : a + step]
+            if len(some) >= SIDE_BY_SIDE:
+                planes, ok = decode_alike([frames[i] for i in some], h)
+                out[some], good[some] = np.where(ok[:, None], _count(planes), 0), ok
+                continue
+            for i in some:
+                try:
+                    out[i], good[i] = _count(decode_luma(frames[i])[None])[0], True
+                except (ValueError, IndexError):
+                    pass
+    return out, good
 
 
 def shot_starts(h: np.ndarray, floor: float = FLOOR, spread: float = SPREAD, window: int = WINDOW, min_shot: int = MIN_SHOT) -> list[int]:
@@ -314,16 +447,39 @@ def shot_starts(h: np.ndarray, floor: float = FLOOR, spread: float = SPREAD, win
 _CLIPS = "clip int, first_frame int, last_frame int, start_s double, end_s double, n_frames int, bad_frames int, error string"
 
 
-def clips_of(data: bytes | None) -> list[tuple]:
-    try:
-        if not data:
-            raise ValueError("no content")
-        rate, frames = parse_avi(data)
-    except (ValueError, struct.error) as e:
-        return [(None, None, None, None, None, None, None, str(e)[:200])]
-    h, bad = histograms(frames)
-    starts = shot_starts(h)
-    return [(k, a, z - 1, a / rate, z / rate, z - a, bad, None) for k, (a, z) in enumerate(zip(starts, [*starts[1:], len(frames)]))]
+def clips_of(films: list[bytes | None]) -> list[list[tuple]]:
+    """Clip rows of each film; the frames of all are decoded together."""
+    parsed: list = []
+    for data in films:
+        try:
+            if not data:
+                raise ValueError("no content")
+            parsed.append(parse_avi(data))
+        except (ValueError, struct.error) as e:
+            parsed.append(str(e)[:200])
+    h, good = histograms([f for p in parsed if not isinstance(p, str) for f in p[1]])
+    out, at = [], 0
+    for p in parsed:
+        if isinstance(p, str):
+            out.append([(None, None, None, None, None, None, None, p)])
+            continue
+        rate, frames = p
+        own, ok = h[at : at + len(frames)], good[at : at + len(frames)]
+        at += len(frames)
+        for i, f in enumerate(frames):  # empty and bad frames repeat the one before
+            if i and (not f or not ok[i]):
+                own[i] = own[i - 1]
+        starts = shot_starts(own)
+        bad = int((~ok).sum())
+        out.append([(k, a, z - 1, a / rate, z / rate, z - a, bad, None) for k, (a, z) in enumerate(zip(starts, [*starts[1:], len(frames)]))])
+    return out
+
+
+def _pieces(films: pd.Series) -> Iterator[pd.Series]:
+    """Runs of films of about ROOM bytes."""
+    held = films.map(lambda x: len(x) if x else 0).cumsum() // ROOM
+    for _, part in films.groupby(held, sort=False):
+        yield part
 
 
 def detect_clips(videos: DataFrame, key: str = "vec_id", content: str = "avi") -> DataFrame:
@@ -332,7 +488,7 @@ def detect_clips(videos: DataFrame, key: str = "vec_id", content: str = "avi") -
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in _CLIPS.split(", ")]
         for b in batches:
-            found = [clips_of(x) for x in b["content"]]
+            found = [rows for part in _pieces(b["content"]) for rows in clips_of(part.tolist())]
             out = pd.DataFrame([r for f in found for r in f], columns=names)
             for c in ("clip", "first_frame", "last_frame", "n_frames", "bad_frames"):
                 out[c] = out[c].astype("Int32")
@@ -344,42 +500,57 @@ def detect_clips(videos: DataFrame, key: str = "vec_id", content: str = "avi") -
 
 
 @functools.lru_cache(4)
-def _codes(counts: bytes, symbols: bytes) -> dict[int, str]:
-    out, code, at = {}, 0, 0
+def _codes(counts: bytes, symbols: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(code, length) by symbol."""
+    codes, lengths, code, at = np.zeros(256, np.int64), np.zeros(256, np.int64), 0, 0
     for n, c in enumerate(counts, 1):
         for _ in range(c):
-            out[symbols[at]], code, at = f"{code:0{n}b}", code + 1, at + 1
+            codes[symbols[at]], lengths[symbols[at]], code, at = code, n, code + 1, at + 1
         code <<= 1
-    return out
+    return codes, lengths
+
+
+def _width(v: np.ndarray) -> np.ndarray:
+    """Bits of the absolute values."""
+    return np.frexp(np.abs(v).astype(np.float64))[1].astype(np.int64)
 
 
 def encode_grey(planes: np.ndarray) -> list[bytes]:
     """Baseline grey JPEGs of (frames, height, width) uint8 planes whose sides are multiples of 8, without Huffman tables."""
     n, h, w = planes.shape
-    x = planes.reshape(n, h // 8, 8, w // 8, 8).transpose(0, 1, 3, 2, 4) - 128.0
-    c = np.rint((_DCT @ x @ _DCT.T) / _QUANT.reshape(8, 8)).astype(np.int64).reshape(n, -1, 64)[:, :, _ZIGZAG]
-    dc, ac = _codes(*_DC0), _codes(*_AC0)
+    x = planes.reshape(n, h // 8, 8, w // 8, 8).transpose(0, 1, 3, 2, 4).reshape(-1, 64) - 128.0
+    c = np.rint(x @ _INVERSE.T / _QUANT[_ZIGZAG]).astype(np.int64).reshape(n, -1, 64)
+    each = c.shape[1]
+    dc = np.diff(c[:, :, 0], axis=1, prepend=0).reshape(-1)
+    c = c.reshape(-1, 64)
+    row, k = np.nonzero(c[:, 1:])
+    k += 1
+    gap = k - np.concatenate([[0], np.where(row[1:] == row[:-1], k[:-1], 0)]) - 1 if len(k) else k
+    v = c[row, k]
+    last = np.zeros(len(c), np.int64)
+    np.maximum.at(last, row, k)
+    zero, short = np.repeat(np.arange(len(k)), gap // 16), np.flatnonzero(last < 63)
+    # symbols by (block, place): code and value bits in one
+    (d0, dn), (a0, an) = _codes(*_DC0), _codes(*_AC0)
+    sym = lambda codes, lengths, s, val, size: (codes[s] << size | np.where(val < 0, val + (1 << size) - 1, val), lengths[s] + size)
+    runs = [(np.arange(len(c)) * 256, *sym(d0, dn, _width(dc), dc, _width(dc))), (row * 256 + 4 * k - 1, *sym(a0, an, gap % 16 << 4 | _width(v), v, _width(v)))]
+    runs += [(row[zero] * 256 + 4 * k[zero] - 2, np.full(len(zero), a0[0xF0]), np.full(len(zero), an[0xF0])), (short * 256 + 255, np.full(len(short), a0[0]), np.full(len(short), an[0]))]
+    place, code, bits = (np.concatenate(r) for r in zip(*runs))
+    order = np.argsort(place, kind="stable")
+    code, bits, frame = code[order], bits[order], place[order] // (256 * each)
+    ends = np.cumsum(bits)
+    per = np.bincount(frame, bits, n).astype(np.int64)
+    size = -(-per // 8)
+    begin = np.cumsum(size) - size
+    at = ends - bits - (np.cumsum(per) - per)[frame] + begin[frame] * 8
+    out = np.zeros(int(size.sum()) + 8, dtype=np.uint8)
+    shifted = code << (40 - bits - (at & 7))
+    for j in range(5):
+        np.add.at(out, (at >> 3) + j, (shifted >> (32 - 8 * j) & 255).astype(np.uint8))
+    out[begin + size - 1] |= ((1 << (8 * size - per)) - 1).astype(np.uint8)  # ones to the byte's end
+    raw = out.tobytes()
     head = b"\xff\xd8\xff\xdb\x00\x43\x00" + bytes(_QUANT[_ZIGZAG].tolist()) + b"\xff\xc0\x00\x0b\x08" + struct.pack(">HH", h, w) + b"\x01\x01\x11\x00\xff\xda\x00\x08\x01\x01\x00\x00\x3f\x00"
-    bits = lambda v: f"{v if v > 0 else v + (1 << abs(v).bit_length()) - 1:0{abs(v).bit_length()}b}" if v else ""
-    out = []
-    for frame in c:
-        s, last = [], 0
-        for block in frame.tolist():
-            v, last = block[0] - last, block[0]
-            s += [dc[abs(v).bit_length()], bits(v)]
-            run, some = 0, max((i for i in range(1, 64) if block[i]), default=0)
-            for v in block[1 : some + 1]:
-                if not v:
-                    run += 1
-                    continue
-                s += [ac[0xF0]] * (run // 16) + [ac[run % 16 << 4 | abs(v).bit_length()], bits(v)]
-                run = 0
-            if some < 63:
-                s.append(ac[0])
-        t = "".join(s)
-        t += "1" * (-len(t) % 8)
-        out.append(head + int(t, 2).to_bytes(len(t) // 8, "big").replace(b"\xff", b"\xff\x00") + b"\xff\xd9")
-    return out
+    return [head + raw[a : a + m].replace(b"\xff", b"\xff\x00") + b"\xff\xd9" for a, m in zip(begin.tolist(), size.tolist())]
 
 
 def write_avi(frames: list[bytes], width: int, height: int, rate: int = 10, index: bool = True) -> bytes:
@@ -408,15 +579,15 @@ def scene_frames(vec_id: int, v: np.ndarray) -> np.ndarray:
     A shot has one brightness, four fields shaded by elements of the vector, and a ripple that moves.
     """
     v = np.clip(np.nan_to_num(v.astype(float)), -1, 1) if len(v) else np.zeros(1)
-    y, x = np.mgrid[0:SIDE, 0:SIDE]
-    field = (y // 8) * 2 + x // 8
-    out, t = [], 0
-    for j in range(2 + vec_id % 3):
-        level = (70 if j % 2 == 0 else 170) + (31 * vec_id + 17 * j) % 30 + 20 * v[(4 * j + field) % len(v)]
-        for _ in range(4 + (7 * vec_id + 5 * j) % 5):
-            out.append(level + 6 * np.sin(2 * np.pi * (x + y + t) / 8))
-            t += 1
-    return np.clip(np.rint(np.array(out)), 0, 255).astype(np.uint8)
+    j = np.arange(2 + vec_id % 3)
+    level = np.where(j % 2 == 0, 70, 170) + (31 * vec_id + 17 * j) % 30
+    shade = level[:, None, None] + 20 * v[(4 * j[:, None, None] + _FIELD) % len(v)]
+    shots = np.repeat(j, 4 + (7 * vec_id + 5 * j) % 5)
+    return np.clip(np.rint(shade[shots] + _RIPPLE[(_SUM + np.arange(len(shots))[:, None, None]) % 8]), 0, 255).astype(np.uint8)
+
+
+_y, _x = np.mgrid[0:SIDE, 0:SIDE]
+_FIELD, _SUM, _RIPPLE = (_y // 8) * 2 + _x // 8, _x + _y, 6 * np.sin(2 * np.pi * np.arange(8) / 8)
 
 
 def videos_of(vectors: DataFrame) -> DataFrame:
@@ -424,8 +595,12 @@ def videos_of(vectors: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            films = [None if v is None or pd.isna(i) else write_avi(encode_grey(scene_frames(int(i), np.asarray(v))), SIDE, SIDE, RATE) for i, v in zip(b["vec_id"], b["embedding"])]
-            yield pd.DataFrame({"vec_id": b["vec_id"], "avi": films})
+            for a in range(0, len(b), 500):
+                part = b.iloc[a : a + 500]
+                scenes = [None if v is None or pd.isna(i) else scene_frames(int(i), np.asarray(v)) for i, v in zip(part["vec_id"], part["embedding"])]
+                some = [x for x in scenes if x is not None]
+                frames = iter(encode_grey(np.concatenate(some)) if some else [])
+                yield pd.DataFrame({"vec_id": part["vec_id"], "avi": [None if x is None else write_avi([next(frames) for _ in x], SIDE, SIDE, RATE) for x in scenes]})
 
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInPandas(run, "vec_id long, avi binary")
 

@@ -22,14 +22,19 @@ def test_decoder_inverts_encoder(h, w):
         assert d.shape == p.shape and np.abs(d.astype(int) - p).mean() < 4
 
 
-def subsampled(pad):
+def codes(counts, symbols):
+    code, length = M._codes(counts, symbols)
+    return {x: f"{code[x]:0{length[x]}b}" for x in symbols}
+
+
+def subsampled(pad, levels=(100, 140, 60, 200)):
     """A 4:2:0 colour frame with restart markers, whose blocks are flat: luma 100, 140, 60 and 200 in the four 8x8 fields of each of two MCUs."""
-    dc, ac, dc1, ac1 = M._codes(*M._DC0), M._codes(*M._AC0), M._codes(*M._DC1), M._codes(*M._AC1)
+    dc, ac, dc1, ac1 = codes(*M._DC0), codes(*M._AC0), codes(*M._DC1), codes(*M._AC1)
     bits = lambda v: f"{v if v > 0 else v + (1 << abs(v).bit_length()) - 1:0{abs(v).bit_length()}b}" if v else ""
     body = b""
     for mcu in range(2):
         s, last = "", 0
-        for level in (100, 140, 60, 200):
+        for level in levels:
             v = level - 128  # 8 * (level - 128) / quantiser 8
             s += dc[abs(v - last).bit_length()] + bits(v - last) + ac[0]
             last = v
@@ -49,6 +54,36 @@ def test_colour_sampling_and_restarts(pad):
         assert [int(y[r, mcu + c]) for r in (2, 10) for c in (2, 10)] == [100, 140, 60, 200]
 
 
+def test_side_by_side_equals_one_by_one():
+    """Noise of all strengths, and colour frames with restarts; some frames are damaged."""
+    r = np.random.default_rng(7)
+    noise = np.clip(128 + r.normal(0, 1, (60, 24, 16)) * np.linspace(0, 120, 60)[:, None, None], 0, 255).astype(np.uint8)
+    colour = [subsampled(b"\xff\xd9", tuple(int(x) for x in r.integers(8, 248, 4))) for _ in range(40)]
+    for frames in (M.encode_grey(noise), colour):
+        for i in (3, 11, 20, 21):
+            f = bytearray(frames[i])
+            at = len(f) - int(r.integers(4, 20))
+            f[at:] = r.integers(0, 256, len(f) - at, dtype=np.uint8).tobytes() if i != 3 else b""
+            frames[i] = bytes(f)
+        planes, good = M.decode_alike(frames, M._header(frames[0]))
+        assert 30 < good.sum() < len(frames)
+        for f, p, ok in zip(frames, planes, good):
+            try:
+                assert (M.decode_luma(f) == p).all() and ok
+            except ValueError:
+                assert not ok
+
+
+def test_nested_lists_are_no_danger(spark):
+    deep = b""
+    for _ in range(3000):
+        deep = b"LIST" + struct.pack("<I", len(deep) + 4) + b"movi" + deep
+    a = b"RIFF" + struct.pack("<I", len(deep) + 4) + b"AVI " + deep
+    assert M.clips_of([a])[0][0][-1] == "no video stream"
+    r = M.detect_clips(spark.createDataFrame([(1, bytearray(a)), (2, bytearray(film([60, 180], [4, 4])[1]))], "vec_id long, avi binary")).collect()
+    assert sorted((x["vec_id"], x["clip"]) for x in r if x["clip"] is not None) == [(2, 0), (2, 1)] and len(r) == 3
+
+
 def test_bad_frames():
     j = M.encode_grey(np.full((1, 8, 8), 90, np.uint8))[0]
     for bad in (b"", b"no", j[:20], j.replace(b"\xff\xc0", b"\xff\xc2"), j[:60] + j[-2:]):
@@ -59,7 +94,7 @@ def test_bad_frames():
 @pytest.mark.parametrize("index", [True, False])
 def test_shots(index):
     _, a = film([60, 150, 90, 200], [5, 7, 4, 9], index=index)
-    got = M.clips_of(a)
+    got = M.clips_of([a])[0]
     assert [c[:3] for c in got] == [(0, 0, 4), (1, 5, 11), (2, 12, 15), (3, 16, 24)]
     assert [c[3:5] for c in got] == [(0.0, 0.5), (0.5, 1.2), (1.2, 1.6), (1.6, 2.5)] and all(c[6] == 0 for c in got)
 
@@ -99,7 +134,7 @@ def test_index_of_the_first_segment_only():
     movi = b[b.index(b"movi") - 8 : b.index(b"idx1")]
     two = a + b"RIFF" + struct.pack("<I", 4 + len(movi)) + b"AVIX" + movi
     assert M.parse_avi(two)[1] == want
-    assert [c[1:3] for c in M.clips_of(two)] == [(0, 3), (4, 7), (8, 12), (13, 15)]
+    assert [c[1:3] for c in M.clips_of([two])[0]] == [(0, 3), (4, 7), (8, 12), (13, 15)]
     at = a.index(b"idx1")
     short = a[: at + 4] + struct.pack("<I", 16 * 3) + a[at + 8 : at + 8 + 16 * 3]
     assert M.parse_avi(short)[1] == M.parse_avi(a)[1]  # an index of three of the eight frames
