@@ -2,26 +2,31 @@
 
 Encoding: texts are split into words by the tokenizer's own pattern. A partition of the input numbers its distinct words
 in order of occurrence (a segment); the words of all segments are grouped, each distinct word is encoded once, and its ids
-go back to (segment, number). The ids, packed, form a table in the shared folder with one folder for each segment.
-A second pass over the texts splits them again, numbers the words alike and joins ids back by position. Texts are never
+go back to (segment, number). The ids, packed, form a table in the shared folder: segments are dealt to a bounded number of
+folders, sorted within, and a task reads the row group that holds its own. A second pass over the texts splits them again, numbers the words alike and joins ids back by position. Texts are never
 shuffled, only distinct words are; no driver holds or broadcasts a vocabulary of the corpus. If a partition comes back
 with other rows (an input that isn't deterministic), a word's check hash differs and the word is encoded on the spot.
 
-Decoding: ids are joined with the id-to-piece table of the tokenizer (fixed size) and the pieces concatenated in order.
+Decoding: a join with the id-to-piece table of the tokenizer, whose size is fixed (and measured before it is broadcast). Rows are
+dealt by number before they are exploded, so that the pieces are brought together without another shuffle.
 
 Defined cases: null text has null ids and null n_tokens; empty text has no ids and n_tokens 0; text is ordinary text, also
-where it spells a special token; repeated rows and null ids are encoded as they are; other columns are kept, but for
-columns named ``ids`` or ``n_tokens``, which the result replaces.
+where it spells a special token; very long texts and words are encoded whole, in time that grows as n log n; repeated rows and
+null ids are encoded as they are; an empty table gives no row; other columns are kept, but for columns named ``ids`` or
+``n_tokens``, which the result replaces. In decoding, null ids give null text and no ids the empty text; an id that the table
+lacks, or null, gives the replacement character, as do bytes that are no UTF-8; other columns than the key are not kept.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 import regex
@@ -30,11 +35,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, shared_dir, table
+from .common import Memo, fits, parallelism, shared_dir, table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SEGMENT_WORDS = 1_000_000
+FOLDERS = 4096
 
 
 def load_ranks(path: str = TOKENIZER) -> dict[bytes, int]:
@@ -43,7 +49,7 @@ def load_ranks(path: str = TOKENIZER) -> dict[bytes, int]:
 
 
 class WordEncoder:
-    """Merges of one word: the pair of lowest rank first, leftmost on ties."""
+    """Merges of one word: the pair of lowest rank first, leftmost on ties; pairs wait in a heap."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -52,21 +58,24 @@ class WordEncoder:
         ranks = self.ranks
         if word in ranks:
             return [ranks[word]]
-        parts = [word[i : i + 1] for i in range(len(word))]
-        inf = 1 << 60
-        pair = [ranks.get(parts[i] + parts[i + 1], inf) for i in range(len(parts) - 1)]
-        while pair:
-            low = min(pair)
-            if low == inf:
-                break
-            i = pair.index(low)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pair[i]
-            if i < len(pair):
-                pair[i] = ranks.get(parts[i] + parts[i + 1], inf)
-            if i:
-                pair[i - 1] = ranks.get(parts[i - 1] + parts[i], inf)
-        return [ranks[p] for p in parts]
+        n = len(word)
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # part i is word[i:end[i]]; 0 where a merge took it
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, z = heapq.heappop(heap)
+            j = end[i]
+            if not j or j >= n or not end[j] or end[j] != z:  # one of the two has changed since
+                continue
+            end[i], end[j] = z, 0
+            if z < n:
+                before[z] = i
+                if (r := ranks.get(word[i : end[z]])) is not None:
+                    heapq.heappush(heap, (r, i, end[z]))
+            h = before[i]
+            if h >= 0 and (r := ranks.get(word[h:z])) is not None:
+                heapq.heappush(heap, (r, h, z))
+        return [ranks[word[i : end[i]]] for i in range(n) if end[i]]
 
 
 def word_encoder(path: str):
@@ -158,46 +167,56 @@ def _encode_words(path: str):
 
 
 def _tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by segment and number -> one row a segment: counts of ids, ids and checks, packed."""
-    now, parts = None, []
+    """Rows sorted by folder, segment and number -> one row a segment: counts of ids, ids and checks, packed."""
+    now, folder, parts = None, None, []
 
     def close():
         g = pd.concat(parts)
         n = g["ids"].str.len().to_numpy() // 4
         ids = np.frombuffer(b"".join(g["ids"]), dtype="<u4")
         wide = 4 if len(ids) and ids.max() > 65535 else 2
-        return pd.DataFrame({"segment": [now], "wide": [wide], "n": [n.astype("<u4").tobytes()], "ids": [ids.astype(f"<u{wide}").tobytes()], "check": [g["check"].to_numpy().astype("<u4").tobytes()]})
+        return pd.DataFrame({"folder": [folder], "segment": [now], "wide": [wide], "n": [n.astype("<u4").tobytes()], "ids": [ids.astype(f"<u{wide}").tobytes()], "check": [g["check"].to_numpy().astype("<u4").tobytes()]})
 
     for b in batches:
         for s, g in b.groupby("segment", sort=False):
             if s != now and parts:
                 yield close()
                 parts = []
-            now = s
+            now, folder = s, g["folder"].iloc[0]
             parts.append(g)
     if parts:
         yield close()
 
 
-def _read_segment(path: str, key: int):
+def _folder(key: int, folders: int) -> int:
+    return ((key >> 20) + 7919 * (key & 0xFFFFF)) % folders
+
+
+def _read_segment(path: str, key: int, folders: int):
     fs, base = pafs.FileSystem.from_uri(path)
-    found = [f.path for f in fs.get_file_info(pafs.FileSelector(f"{base}/segment={key}", allow_not_found=True)) if f.path.endswith(".parquet")]
-    for p in found:
+    listed = fs.get_file_info(pafs.FileSelector(f"{base}/folder={_folder(key, folders)}", allow_not_found=True))
+    for p in (f.path for f in listed if f.path.endswith(".parquet")):
         with fs.open_input_file(p) as f:
-            r = pq.read_table(f, columns=["wide", "n", "ids", "check"]).to_pylist()
-        if r:
-            n = np.frombuffer(r[0]["n"], "<u4").astype(np.int64)
-            return n, np.concatenate([[0], np.cumsum(n)]), np.frombuffer(r[0]["ids"], f"<u{r[0]['wide']}").astype(np.int32), np.frombuffer(r[0]["check"], "<u4")
+            file = pq.ParquetFile(f)
+            at = file.schema_arrow.names.index("segment")
+            for g in range(file.num_row_groups):
+                span = file.metadata.row_group(g).column(at).statistics
+                if span is not None and span.has_min_max and not span.min <= key <= span.max:
+                    continue
+                r = file.read_row_group(g).filter(pc.field("segment") == key).to_pylist()
+                if r:
+                    n = np.frombuffer(r[0]["n"], "<u4").astype(np.int64)
+                    return n, np.concatenate([[0], np.cumsum(n)]), np.frombuffer(r[0]["ids"], f"<u{r[0]['wide']}").astype(np.int32), np.frombuffer(r[0]["check"], "<u4")
     return np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
 
-def _join_ids(path: str, tokenizer: str, room: int, at: int, names: list[str]):
+def _join_ids(path: str, folders: int, tokenizer: str, room: int, at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         seg, state, slow = _Segments(room), None, None
 
         def load():
-            return [*_read_segment(path, (part << 20) | seg.segment), 0]
+            return [*_read_segment(path, (part << 20) | seg.segment, folders), 0]
 
         def verified():
             """Checks words numbered since the last call; what has no or another entry is encoded here."""
@@ -268,40 +287,32 @@ def encode(docs: DataFrame, text: str = "text", keep: list[str] | None = None, t
     path = shared_dir(spark)
     words = docs.select(text).mapInArrow(_segment_words(room), "word binary, segment long, number int")
     coded = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_words(tokenizer), "segment long, number int, ids binary, check long")
-    tables = coded.repartition("segment").sortWithinPartitions("segment", "number").mapInPandas(_tables, "segment long, wide int, n binary, ids binary, check binary")
-    tables.write.partitionBy("segment").option("compression", "zstd").parquet(path)
+    folders = min(FOLDERS, parallelism(spark))
+    coded = coded.withColumn("folder", ((F.shiftright("segment", 20) + F.lit(7919) * (F.col("segment").bitwiseAND(0xFFFFF))) % folders).cast("int"))
+    tables = coded.repartition("folder").sortWithinPartitions("folder", "segment", "number").mapInPandas(_tables, "folder int, segment long, wide int, n binary, ids binary, check binary")
+    # a row is a segment's table; small row groups let a task read its own
+    tables.write.partitionBy("folder").option("compression", "zstd").option("parquet.block.size", 1 << 20).option("parquet.enable.dictionary", "false").parquet(path)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
     schema = (kinds + ", " if kinds else "") + "ids array<int>, n_tokens int"
-    return docs.mapInArrow(_join_ids(path, tokenizer, room, docs.columns.index(text), keep), schema)
+    return docs.mapInArrow(_join_ids(path, folders, tokenizer, room, docs.columns.index(text), keep), schema)
 
 
 def pieces(spark: SparkSession, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(id int, piece binary), as large as the tokenizer's vocabulary."""
-    return spark.createDataFrame(pd.DataFrame([(i, p) for p, i in load_ranks(tokenizer).items()], columns=["id", "piece"]), "id int, piece binary")
+    """(id int, piece string in hexadecimal digits), as large as the tokenizer's vocabulary."""
+    return spark.createDataFrame(pd.DataFrame([(i, p.hex()) for p, i in load_ranks(tokenizer).items()], columns=["id", "piece"]), "id int, piece string")
 
 
 def decode(coded: DataFrame, key: str = "doc_id", tokenizer: str = TOKENIZER) -> DataFrame:
-    """(key, text) by an id-to-piece join. The piece table has the tokenizer's fixed size, so it is broadcast; ids travel in runs.
-
-    Null ids give null text, empty ids the empty text; an id that the table lacks gives the replacement character.
-    """
-    spark = coded.sparkSession
-    ranks = load_ranks(tokenizer)
-    by_id = [b""] * (max(ranks.values()) + 2)
-    for p, i in ranks.items():
-        by_id[i] = p
-    for i, p in enumerate(by_id):
-        by_id[i] = p or b"\xef\xbf\xbd"
-    shared = spark.sparkContext.broadcast(by_id)
-
-    @F.pandas_udf("string")
-    def join_pieces(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        piece = np.array(shared.value, dtype=object)
-        last = len(piece) - 1
-        for s in ids:
-            yield pd.Series([None if x is None else b"".join(piece[np.where((x < 0) | (x > last), last, x)]).decode("utf-8", "replace") if len(x) else "" for x in s], dtype=object)
-
-    return coded.select(key, join_pieces("ids").alias("text"))
+    """(key, text): ids joined with their pieces, and the pieces of a row brought together in order."""
+    table_ = pieces(coded.sparkSession, tokenizer)
+    table_ = F.broadcast(table_) if fits(table_) else table_
+    rows = coded.select(F.monotonically_increasing_id().alias("__row"), F.col(key).alias("__key"), F.col("ids").alias("__ids")).repartition("__row")
+    one = rows.select("__row", "__key", F.col("__ids").isNull().alias("__none"), F.posexplode_outer("__ids").alias("__at", "__id"))
+    piece = F.when(F.col("__at").isNotNull(), F.coalesce("piece", F.lit("efbfbd")))
+    joined = one.join(table_, one["__id"] == table_["id"], "left").select("__row", "__key", "__none", F.struct("__at", piece.alias("p")).alias("x"))
+    text = F.make_valid_utf8(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["p"]), "")).cast("string"))
+    out = joined.groupBy("__row", "__key", "__none").agg(text.alias("text"))
+    return out.select(F.col("__key").alias(key), F.when(~F.col("__none"), F.col("text")).alias("text"))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

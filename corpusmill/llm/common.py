@@ -27,11 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/corpusmill-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """Cut lineage with a written table in the shared folder; its readers survive lost executors."""
+def materialize(df: DataFrame, compression: str = "zstd", packed: str = "") -> DataFrame:
+    """Cut lineage with a written table in the shared folder; its readers survive lost executors.
+
+    ``packed``: a binary column that is dense already, for which a dictionary would be tried in vain.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.option("compression", compression).parquet(path)
+    w = df.write.option("compression", compression)
+    (w.option(f"parquet.enable.dictionary#{packed}", "false") if packed else w).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

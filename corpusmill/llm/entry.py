@@ -15,6 +15,7 @@ def queries():
         "op5_media": media.op5_media,
         "op6_chat": chat.op6_chat,
         "op7_simple8b": simple8b.op7_simple8b,
+        "simple8b_round_trip": simple8b.simple8b_round_trip,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_ngram_join": ngram_join.op9_ngram_join,
         "op10_quality": quality.op10_quality,
@@ -22,4 +23,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_warc": warc.SQL, "bpe_round_trip": bpe.ROUND_TRIP_SQL, "op4_cover_tree": cover_tree.SQL, "op5_media": media.SQL, "op9_ngram_join": ngram_join.SQL}
+    return {"op2_warc": warc.SQL, "bpe_round_trip": bpe.ROUND_TRIP_SQL, "op4_cover_tree": cover_tree.SQL, "op5_media": media.SQL, "op9_ngram_join": ngram_join.SQL, "simple8b_round_trip": simple8b.ROUND_TRIP_SQL}

@@ -167,7 +167,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     spark = docs.sparkSession
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"), lang.alias("lang"))
-    coded = materialize(docs.mapInArrow(_encode(tokenizer), "doc_id long, source string, lang string, h long, th long, n long, ids binary"))
+    coded = materialize(docs.mapInArrow(_encode(tokenizer), "doc_id long, source string, lang string, h long, th long, n long, ids binary"), "none", packed="ids")
 
     held = [(r["source"], r["n"]) for r in coded.groupBy("source").agg(F.sum("n").alias("n")).collect()]
     held.sort(key=lambda x: (x[0] is not None, x[0]))

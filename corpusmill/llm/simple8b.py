@@ -12,7 +12,9 @@ Encoding is greedy, most values first. Where each selector fits is found for all
 walks from word to word go on in all blocks of a batch side by side.
 
 Defined cases: null ids give null words and offsets; no ids give empty words, no offset and n_ids 0; values are unsigned
-64-bit (a negative bigint comes back as the same bigint); a null within ids is an error; other columns are not read.
+64-bit (a negative bigint comes back as the same bigint); a null within ids is an error; rows of any length are taken whole; a
+block that a row hasn't gives null; an empty table gives no row; repeated rows and null keys are coded as they come; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -22,12 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import PATTERN, TOKENIZER, word_encoder
-from .common import Memo, table
+from .bpe import TOKENIZER, text_encoder
+from .common import table
 
 BLOCK = 1024
 COUNTS = np.array([1, 240, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -93,9 +94,8 @@ def pack_rows(flat: np.ndarray, sizes: np.ndarray, block: int = BLOCK) -> tuple[
     return words, per_row, offsets, blocks
 
 
-def unpack_words(words: np.ndarray) -> np.ndarray:
-    """The ids in a run of whole blocks, a selector at a time."""
-    words = np.asarray(words, dtype=np.uint64)
+def _heads(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the words with a selector, number of values of each)."""
     sel = (words >> np.uint64(60)).astype(np.int64)
     raw = np.zeros(len(words), dtype=bool)
     last = -2
@@ -104,8 +104,14 @@ def unpack_words(words: np.ndarray) -> np.ndarray:
             continue
         raw[i + 1], last = True, i
     head = np.flatnonzero(~raw)
-    s = sel[head]
-    count = COUNTS[s]
+    return head, COUNTS[sel[head]]
+
+
+def unpack_words(words: np.ndarray) -> np.ndarray:
+    """The ids in a run of whole blocks, a selector at a time."""
+    words = np.asarray(words, dtype=np.uint64)
+    head, count = _heads(words)
+    s = (words[head] >> np.uint64(60)).astype(np.int64)
     place = np.cumsum(count) - count
     out = np.zeros(int(count.sum()), dtype=np.uint64)
     for k in np.unique(s):
@@ -154,32 +160,63 @@ def encode_ids(df: DataFrame, key: str = "doc_id", ids: str = "ids") -> DataFram
 
 
 def decode_ids(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key and ids array<bigint>."""
+    """key and ids array<bigint>: the words of all rows of a batch are decoded at once."""
 
     @F.pandas_udf("array<bigint>")
     def decode(w: pd.Series) -> pd.Series:
-        return w.map(lambda x: None if x is None else unpack_words(np.frombuffer(x, "<u8")).view(np.int64))
+        some = [x for x in w if x is not None]
+        words = np.frombuffer(b"".join(some), "<u8")
+        flat = unpack_words(words).view(np.int64)
+        per = np.zeros(len(words), dtype=np.int64)
+        head, count = _heads(words)
+        per[head] = count
+        ends = np.concatenate([[0], np.cumsum(per)])[np.cumsum([0] + [len(x) // 8 for x in some])]
+        parts = iter([flat[a:z] for a, z in zip(ends, ends[1:])])
+        return pd.Series([None if x is None else next(parts) for x in w], dtype=object)
 
     return df.select(key, decode("words").alias("ids"))
 
 
+def decode_block(df: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
+    """key and ids array<bigint> of the k-th block of each row: by its offset, from its own bytes alone."""
+    at = lambda i: F.expr(f"cast(conv(hex(reverse(substring(offsets, {4 * i} + 1, 4))), 16, 10) as int)")  # noqa: E731, offsets are little-endian
+    n = F.octet_length("offsets") / 4
+    begin, end = at(k) * 8, F.when(n > k + 1, at(k + 1) * 8).otherwise(F.octet_length("words"))
+    part = F.when(n > k, F.substring("words", begin + 1, end - begin))
+    return decode_ids(df.select(key, part.alias("words")), key)
+
+
 def encode_texts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """doc_id, n_ids, words and offsets of the texts' BPE ids; null text counts as null ids."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        encode = word_encoder(tokenizer)
-        ids_of = Memo(lambda w: np.array(encode(w.encode("utf-8", "surrogatepass")), dtype="<u4").tobytes(), 400_000).__getitem__
-        split = regex.compile(PATTERN).findall
+        encode = text_encoder(tokenizer)
         for b in batches:
             for a in range(0, b.num_rows, 1000):
                 part = b.slice(a, 1000)
                 texts = part.column(1).to_pylist()
-                packed = [b"".join(map(ids_of, split(t))) if t else b"" for t in texts]
-                sizes = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
-                yield _rows(np.frombuffer(b"".join(packed), "<u4").astype(np.uint64), sizes, np.array([t is None for t in texts], dtype=bool), [part.column(0)])
+                ids = [np.array(encode(t), dtype=np.uint64) if t else np.zeros(0, np.uint64) for t in texts]
+                sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+                yield _rows(np.concatenate(ids), sizes, np.array([t is None for t in texts], dtype=bool), [part.column(0)])
 
     return docs.select(F.col("doc_id").cast("long").alias("key"), "text").mapInArrow(run, f"key long, {_OUT}").withColumnRenamed("key", "doc_id")
 
 
 def op7_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"))
+
+
+def simple8b_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code points of every text, coded and decoded: how many, their sum, and the sum of those of the second block."""
+    points = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", ""), lambda c: F.ascii(c).cast("long")).alias("ids"))
+    coded = encode_ids(points)
+    total = lambda ids: F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a + x)
+    whole = decode_ids(coded).select("doc_id", F.size("ids").alias("n"), total("ids").alias("total"))
+    second = decode_block(coded, 1).select(F.col("doc_id").alias("d"), F.coalesce(total("ids"), F.lit(0)).alias("second"))
+    return whole.join(second, whole["doc_id"] == second["d"]).drop("d")
+
+
+ROUND_TRIP_SQL = f"""
+WITH c AS (SELECT doc_id, list_transform(range(1, length(text) + 1), lambda i: ord(substr(text, i, 1))::BIGINT) AS p FROM documents WHERE text <> '')
+SELECT doc_id, len(p)::INTEGER AS n, list_sum(p)::BIGINT AS total, coalesce(list_sum(p[{BLOCK + 1}:{2 * BLOCK}]), 0)::BIGINT AS second FROM c
+"""

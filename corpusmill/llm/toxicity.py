@@ -10,9 +10,9 @@ a stem may be harmless where three aren't. Terms are hashed into 2**bits buckets
 Three screens choose the buckets that take part; all others are frozen at zero, so that a long clean text does not gather
 noise: (1) the document frequency differs between the classes by more than chance (chi-square); (2) it does so among the rated
 texts that have a bucket of the first screen, where a group's name may tell what it doesn't tell elsewhere; (3) two
-buckets interact: of the shares of toxic texts with both, with one and with none, p11 - p10 - p01 + p00 is not zero by more
-than chance, whatever each tells alone. The third one looks at all pairs of the ``PAIRED`` most frequent buckets of the
-rated sample, a bound of fitting like the sample itself.
+buckets interact: of the log odds of texts with both, with one and with none, l11 - l10 - l01 + l00 is not zero by more
+than chance, nor small in shares (``effect``), whatever each tells alone. The third one looks at all pairs of the ``PAIRED``
+most frequent buckets of the rated sample and takes the ``PAIRS`` strongest, bounds of fitting like the sample itself.
 
 Defined cases: null or blank text has no term and scores the bias, so it is kept; very long texts are read whole; null labels
 and ids are ignored; with labels of one class only or without any, nothing is learned and every document is kept; an empty
@@ -38,7 +38,7 @@ FACTORS = 8
 MAX_LABELLED = 12000
 STEMS = (4, 5, 6)
 LEVELS = 3
-PAIRED = 2048
+PAIRED, PAIRS = 2048, 32
 THRESHOLD = 0.4
 
 
@@ -153,8 +153,8 @@ def screen(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS, chi2: float
     return np.flatnonzero((stat >= chi2) & (a + b >= support))
 
 
-def interacting(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS, most: int = PAIRED, least: int = 8, z2: float = 60.0) -> np.ndarray:
-    """Buckets of pairs whose effect isn't the sum of their own; each of the four cells of a pair has ``least`` texts at least."""
+def interacting(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS, most: int = PAIRED, least: int = 8, z2: float = 40.0, effect: float = 0.25, pairs: int = PAIRS) -> np.ndarray:
+    """Buckets of pairs whose effect on the log odds isn't the sum of their own; each of the four cells of a pair has ``least`` texts at least."""
     if not len(rows):
         return np.zeros(0, dtype=np.int64)
     df = np.bincount(np.concatenate(rows).astype(np.int64), minlength=1 << bits)
@@ -173,18 +173,18 @@ def interacting(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS, most: i
         both += x.T @ x
         bad = x[y[k : k + 1000] > 0]
         toxic += bad.T @ bad
-    found = np.zeros(len(often), dtype=bool)
+    found: list[tuple[float, int, int]] = []
     n, t, all_n, all_t = np.diag(both).astype(float), np.diag(toxic).astype(float), float(len(rows)), float((y > 0).sum())
     for i in range(len(often)):
         n11, t11 = both[i].astype(float), toxic[i].astype(float)
         cells = [(n11, t11), (n[i] - n11, t[i] - t11), (n - n11, t - t11), (all_n - n[i] - n + n11, all_t - t[i] - t + t11)]
-        p = [(b + 0.5) / (a + 1) for a, b in cells]
-        var = sum(q * (1 - q) / np.maximum(a, 1) for q, (a, _) in zip(p, cells))
-        ok = np.logical_and.reduce([a >= least for a, _ in cells]) & ((p[0] - p[1] - p[2] + p[3]) ** 2 >= z2 * var)
-        if ok.any():
-            found[i] = True
-            found |= ok
-    return often[found]
+        odds = [np.log((b + 0.5) / (a - b + 0.5)) for a, b in cells]
+        var = sum(1 / (b + 0.5) + 1 / (a - b + 0.5) for a, b in cells)
+        p = [b / np.maximum(a, 1) for a, b in cells]
+        size = (odds[0] - odds[1] - odds[2] + odds[3]) ** 2 / var
+        ok = np.logical_and.reduce([a >= least for a, _ in cells]) & (np.abs(p[0] - p[1] - p[2] + p[3]) >= effect) & (size >= z2)
+        found += [(-float(size[j]), i, int(j)) for j in np.flatnonzero(ok[:i])]
+    return np.unique([often[x] for _, i, j in sorted(found)[:pairs] for x in (i, j)]).astype(np.int64)
 
 
 def choose(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS) -> np.ndarray:

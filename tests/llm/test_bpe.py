@@ -1,5 +1,9 @@
-import tiktoken
+import random
+
 import pytest
+import regex
+import tiktoken
+from pyspark.sql import functions as F
 
 from corpusmill.llm import bpe as B
 
@@ -32,6 +36,23 @@ def test_own_merges_equal_the_library(library):
         assert w(s.encode()) == library.encode_ordinary(s)
 
 
+def test_own_merges_on_odd_texts(odd_docs, library):
+    w, split = B.WordEncoder(B.load_ranks()), regex.compile(B.PATTERN).findall
+    r = random.Random(2)
+    texts = [x["text"] for x in odd_docs.select("text").collect() if x["text"]]
+    texts += ["".join(chr(r.choice((r.randrange(32, 127), r.randrange(0xA0, 0x250), r.randrange(0x4E00, 0x9FFF), 0x1F642))) for _ in range(200)) for _ in range(30)]
+    texts += ["ab" * 20_000 + "c" * 20_000, "\n" * 5000 + " " * 5000]
+    for t in texts:
+        assert [i for x in split(t) for i in w(x.encode())] == library.encode_ordinary(t)
+
+
+def test_few_folders_hold_all_segments(odd_docs, library):
+    """More segments than folders, whose keys have parts and numbers of all kinds."""
+    assert {B._folder((p << 20) | k, 4) for p in range(8) for k in range(8)} == set(range(4))
+    out = B.encode(odd_docs.repartition(7), room=20).select("text", "ids").collect()
+    assert all(r["text"] is None or list(r["ids"]) == library.encode_ordinary(r["text"]) for r in out)
+
+
 def test_round_trip(odd_docs, no_docs):
     d = B.decode(B.encode(odd_docs, keep=["doc_id"]))
     assert sorted(map(str, d.collect())) == sorted(map(str, odd_docs.select("doc_id", "text").collect()))
@@ -39,5 +60,6 @@ def test_round_trip(odd_docs, no_docs):
 
 
 def test_unknown_id(spark):
-    d = spark.createDataFrame([(1, [50256, -1, 10**6]), (2, []), (3, None)], "doc_id long, ids array<int>")
-    assert {r["doc_id"]: r["text"] for r in B.decode(d).collect()} == {1: "�" * 3, 2: "", 3: None}
+    d = spark.createDataFrame([(1, [50256, -1, 10**6]), (2, []), (3, None), (None, [31373, None]), (4, [31373, 31373]), (4, [31373, 31373])], "doc_id long, ids array<int>").withColumn("id", F.lit("clash")).withColumn("piece", F.lit("clash"))
+    got = sorted((str(r["doc_id"]), str(r["text"])) for r in B.decode(d).collect())
+    assert got == [("1", "�" * 3), ("2", ""), ("3", "None"), ("4", "hellohello"), ("4", "hellohello"), ("None", "hello�")]
