@@ -6,12 +6,15 @@ transcripts with known roles, over the whole table, with add-one smoothing; Vite
 A path begins with a beginning state and a turn continues with its own role only. Markers that the path confirms (a role
 marker at a line that begins a turn) are cut off; any other text stays as it is.
 
-Canonical turn: ``<|role|>``, line break, the text without outer blank lines, line break, ``<|end|>``, line break.
+Canonical turn: ``<|role|>``, line break, the text without outer blank lines, line break, ``<|end|>``, line break. No text can
+forge a marker: ``<|`` in it becomes ``<\\|``, and where there are backslashes between the two already, one more; ``unrender`` takes
+the turns back out.
 
 Defined cases: null transcript and one without a visible character have no turns; blank lines belong to the turn before
 them; a marker alone on its line begins a turn whose text follows; ties between paths go to the state named first; without
-any known transcript all tables are uniform, so the markers decide nothing and all is one user turn; repeated rows and
-null ids are parsed as they come; other columns are not read.
+any known transcript all tables are uniform, so the markers decide nothing and ties make all one user turn; very long
+transcripts and names of any length are read whole; a text that spells markers stays text; an empty table gives no row; repeated
+rows and null ids are parsed as they come; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,14 +27,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 ROLES = ("user", "assistant", "system")
 STATES = [(r, k) for r in ROLES for k in ("begin", "inside")]
 _INDEX = {s: i for i, s in enumerate(STATES)}
 _WORDS = {"user": "user", "human": "user", "q": "user", "question": "user", "customer": "user", "instruction": "user", "prompter": "user", "assistant": "assistant", "ai": "assistant", "bot": "assistant", "a": "assistant", "answer": "assistant", "response": "assistant", "agent": "assistant", "system": "system", "context": "system"}
 _MARK = re.compile(r"^\s*(?:<\|?\s*(?P<tag>[A-Za-z]+)\s*\|?>|\[(?P<box>[A-Za-z]+)\]|#{2,}\s*(?P<hash>[A-Za-z]+)\s*:?|\**(?P<word>[A-Za-z]+)\**\s*[:>]\**)[ \t]*")
-_OTHER = re.compile(r"^\s*\S{1,24}:\s")
+_OTHER = re.compile(r"^\s*\S+:\s")
 # (name, number of symbols) of the features of a line
 # the marker together with whether a blank line comes before: a turn without a marker begins behind one
 FEATURES = (("marker", 10), ("first", 2), ("question", 2), ("length", 4), ("lead", 4))
@@ -104,8 +107,17 @@ def parse(transcript: str | None, model: RoleModel) -> list[tuple[str, str]]:
     return [(r, "\n".join(t).strip("\n")) for r, t in turns]
 
 
+_OPEN, _SHUT = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
+_TURN = re.compile(r"<\|(\w+)\|>\n(.*?)\n<\|end\|>\n", re.DOTALL)
+
+
 def render(turns: list[tuple[str, str]]) -> str:
-    return "".join(f"<|{r}|>\n{t}\n<|end|>\n" for r, t in turns)
+    return "".join(f"<|{r}|>\n{_OPEN.sub(lambda m: f'<{chr(92)}{m[1]}|', t)}\n<|end|>\n" for r, t in turns)
+
+
+def unrender(chat: str) -> list[tuple[str, str]]:
+    """The turns of a canonical rendering."""
+    return [(r, _SHUT.sub(lambda m: f"<{m[1]}|", t)) for r, t in _TURN.findall(chat)]
 
 
 def train_roles(known: DataFrame) -> RoleModel:
@@ -196,5 +208,5 @@ def transcripts_of(conversations: DataFrame) -> DataFrame:
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = transcripts_of(table(spark, sf_dir, "conversations"))
+    t = materialize(transcripts_of(table(spark, sf_dir, "conversations")))
     return format_chats(t, train_roles(t))
