@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -62,6 +63,21 @@ def align_wordpiece(words: list[tuple[str, list[str]]], text: str, lower: bool =
     return align_surface(plain, text, lower)
 
 
+_WORDS = re.compile(r"\w+|[^\w\s]")
+
+
+def words_of_pieces(pieces: list[str], text: str) -> list[tuple[str, list[str]]]:
+    """(word, pieces): pieces with ``##`` go on with the word before; words are runs of letters and digits, and single signs."""
+    out: list[tuple[str, list[str]]] = []
+    words = iter(_WORDS.findall(text))
+    for p in pieces:
+        if p.startswith("##") and out:
+            out[-1][1].append(p)
+        else:
+            out.append((next(words, ""), [p]))
+    return out
+
+
 def align_bytes(pieces: list[str], text: str, space: str = "Ġ") -> list[tuple[int, int]]:
     """Spans of byte-level pieces, a character of a piece for each byte; leading space marks lie outside the span."""
     char_of = [i for i, c in enumerate(text) for _ in c.encode("utf-8")] + [len(text)]
@@ -73,8 +89,8 @@ def align_bytes(pieces: list[str], text: str, space: str = "Ġ") -> list[tuple[i
 
 
 def align(kind: str = "surface", lower: bool = False):
-    """A pandas UDF (pieces array<string>, text) -> array<struct<start, end>>."""
-    one = {"surface": lambda p, t: align_surface(p, t, lower), "bytes": lambda p, t: align_bytes(p, t)}[kind]
+    """A pandas UDF (pieces array<string>, text) -> array<struct<start, end>>; wordpieces are those of the text's words in order."""
+    one = {"surface": lambda p, t: align_surface(p, t, lower), "wordpiece": lambda p, t: align_wordpiece(words_of_pieces(p, t), t, lower), "bytes": lambda p, t: align_bytes(p, t)}[kind]
 
     @F.pandas_udf(SPAN)
     def run(pieces: pd.Series, texts: pd.Series) -> pd.Series:

@@ -62,8 +62,8 @@ def tokens_of(text: Column, pattern: str = TOKEN) -> Column:
 
 def sentences_of(text: Column) -> Column:
     """Cut behind ``.!?`` before white space and at line breaks; trimmed, without empty ones."""
-    marked = F.regexp_replace(F.regexp_replace(text, r"([.!?])[ \t\n\f\r]+", "$1\x01"), "\n+", "\x01")
-    return F.filter(F.transform(F.split(marked, "\x01"), lambda x: F.trim(x)), lambda x: x != "")
+    parts = F.split(text, r"(?<=[.!?])[ \t\n\f\r]+|\n+")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def pairs_of(tokens: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import word_shape
+from .spans import iob_tags_to_biluo, parse_biluo
 
 PREPOSITIONS = {"of": "o", "in": "i", "with": "w", "for": "f", "on": "n", "over": "v", "throughout": "t"}
 GRAMMARS = {"en": "D?[NAS]*N", "ru": "[NA]*N"}
@@ -34,26 +36,35 @@ def np_chunks(tokens: DataFrame, by: list[str], grammar: str = "en", exceptions:
     """
     letter = tag_letter(F.col("word"), F.col("tag"), exceptions)
     s = tokens.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", "word", letter.alias("c")))).alias("t"))
-    pieces = F.regexp_extract_all(F.array_join(F.transform("t", lambda x: x["c"]), ""), F.lit(GRAMMARS[grammar] + "|."), F.lit(0))
-    s = s.select(*by, F.transform("t", lambda x: x["word"]).alias("words"), pieces.alias("p1"))
-    # a phrase is one letter P in the second string, whose merges keep their width
-    second = F.array_join(F.transform("p1", lambda p: F.when(p.endswith("N"), "P").otherwise(p)), "")
-    if grammar == "en":
+    return chunk_rows(s.select(*by, F.transform("t", lambda x: x["word"]).alias("words"), F.transform("t", lambda x: x["c"]).alias("letters")), by, grammar)
+
+
+def chunk_rows(sents: DataFrame, by: list[str], grammar: str = "en") -> DataFrame:
+    """np_chunks of sentences in rows: by, words, and letters as tag_letter gives them. No shuffle."""
+    rule = re.compile(GRAMMARS[grammar] + "|.")
+
+    @F.pandas_udf("array<struct<first:int,last:int,label:string>>")
+    def find(col: pd.Series) -> pd.Series:
+        return pd.Series([_phrases(s, rule, grammar == "en") for s in col], dtype=object)
+
+    s = sents.select(*by, "words", F.explode(find(F.array_join("letters", ""))).alias("p"))
+    return s.select(*by, "p.first", "p.last", "p.label", F.array_join(F.slice("words", F.col("p.first") + 1, F.col("p.last") - F.col("p.first")), "_").alias("chunk"))
+
+
+def _phrases(letters: str, rule: re.Pattern, merge: bool) -> list[dict]:
+    pieces = [m.span() for m in rule.finditer(letters)]
+    second = "".join("P" if letters[z - 1] == "N" else letters[a:z] for a, z in pieces)  # a phrase is one letter, whose merges keep their width
+    out = []
+    if merge:
         for k, c in enumerate(PREPOSITIONS.values()):
-            second = F.regexp_replace(second, f"P{c}P", f"{k}__")
-    s = s.select(*by, "words", "p1", F.regexp_extract_all(second, F.lit("[0-9]__|."), F.lit(0)).alias("p2"))
-    # long form: token place of each first-level piece, then the pieces of the second level
-    one = s.select(*by, "words", F.posexplode("p1").alias("q", "p"), "p2")
-    w = Window.partitionBy(*by).orderBy("q")
-    one = one.withColumn("a", F.coalesce(F.sum(F.length("p")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")).withColumn("z", (F.col("a") + F.length("p")).cast("int")).select(*by, "q", "a", "z")
-    two = s.select(*by, "words", F.posexplode("p2").alias("r", "p"))
-    v = Window.partitionBy(*by).orderBy("r")
-    two = two.withColumn("q", F.coalesce(F.sum(F.length("p")).over(v.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")).where(F.col("p").rlike("^[P0-9]"))
-    ends = two.withColumn("qz", F.col("q") + F.length("p") - 1)
-    j = ends.join(one.select(*by, "q", F.col("a").alias("first")), [*by, "q"]).join(one.select(*by, F.col("q").alias("qz"), F.col("z").alias("last")), [*by, "qz"])
-    names = F.array(*[F.lit(f"NP_{p}") for p in PREPOSITIONS])
-    label = F.when(F.col("p") == "P", "NP").otherwise(F.element_at(names, F.substring("p", 1, 1).try_cast("int") + 1))
-    return j.select(*by, "first", "last", label.alias("label"), F.array_join(F.slice("words", F.col("first") + 1, F.col("last") - F.col("first")), "_").alias("chunk"))
+            second = second.replace(f"P{c}P", f"{k}__")
+    names = list(PREPOSITIONS)
+    for m in _SECOND.finditer(second):
+        out.append({"first": pieces[m.start()][0], "last": pieces[m.end() - 1][1], "label": "NP" if m[0] == "P" else "NP_" + names[int(m[0][0])]})
+    return out
+
+
+_SECOND = re.compile("P|[0-9]__")
 
 
 def pick_tag(votes: Column, tag: Column) -> Column:
@@ -75,13 +86,14 @@ def pick_tag(votes: Column, tag: Column) -> Column:
 
 def repair_tags(tags: Column) -> Column:
     """array<string>, left to right: ``B-NP*`` goes on with the phrase before it or begins one; an orphan I-NP begins one."""
-    def step(acc, t):
-        left = F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(""))
-        inside = left.isin("B-NP", "I-NP")
-        fixed = F.when(F.size(acc) == 0, t).when((t == "B-NP*") & inside, "I-NP").when((t == "B-NP*") | ((t == "I-NP") & ~inside), "B-NP").otherwise(t)
-        return F.concat(acc, F.array(fixed))
+    # a tag depends on the one before it only by whether that lies in a phrase, which its unrepaired form tells as well: any NP
+    # tag stays one. The first tag stays as it is, and B-NP* there lies in none.
+    def fixed(t, i):
+        left = F.get(tags, i - 1)
+        inside = F.coalesce(left.isin("B-NP", "I-NP") | ((left == "B-NP*") & (i > 1)), F.lit(False))
+        return F.when(i == 0, t).when((t == "B-NP*") & inside, "I-NP").when((t == "B-NP*") | ((t == "I-NP") & ~inside), "B-NP").otherwise(t)
 
-    return F.aggregate(tags, F.array().cast("array<string>"), step)
+    return F.transform(tags, fixed)
 
 
 def _simple_tag(tag: Column) -> Column:
@@ -107,6 +119,42 @@ def crf_features(tokens: DataFrame, by: list[str]) -> DataFrame:
     return t.select(*by, "pos", F.array(*f).alias("features"))
 
 
+def feature_rows(sents: DataFrame, by: list[str], words: str = "words", tags: str = "tags") -> DataFrame:
+    """crf_features of sentences in rows (by, words, tags), made within the row: by, pos, features."""
+    low = F.transform(words, F.lower)
+    simple, tag = F.transform(tags, _simple_tag), F.transform(tags, F.lower)
+    s = sents.select(*by, F.col(words).alias("w"), low.alias("lw"), simple.alias("s"), tag.alias("t"))
+    at = lambda c, i: F.coalesce(F.get(c, i), F.lit(""))
+    plus = lambda a, b: F.concat(a, F.lit("+"), b)
+
+    def features(w, i):
+        lw, pos = F.get("lw", i), F.get("s", i)
+        around = [at("t", i + 1), at("t", i + 2), at("s", i - 1), at("s", i - 2)]
+        f = [word_shape(w), F.length(w).cast("string"), F.substring(lw, 1, 3), F.right(lw, F.lit(3)), pos, w, around[2], around[0], at("lw", i - 1), at("lw", i + 1), at("lw", i - 2), at("lw", i + 2)]
+        return F.array(*f, *[plus(lw, x) for x in around], *[plus(pos, x) for x in around])
+
+    return s.select(*by, F.posexplode(F.transform("w", features)).alias("pos", "features"))
+
+
+def parse_with(sents: DataFrame, make_model: Callable[[], Callable[[list[list[str]]], list[str]]], by: list[str]) -> DataFrame:
+    """Chunks by a plugged-in sequence model: by, first, last, label of the phrases that its IOB tags give.
+
+    ``sents``: by, words, tags. The model, made once for each Python worker, takes the feature lists of a sentence (``feature_rows``) and
+    gives an IOB tag for each token.
+    """
+    rows = feature_rows(sents, by).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", "features"))).alias("f"))
+
+    @F.pandas_udf("array<string>")
+    def run(col: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = make_model()
+        for c in col:
+            yield pd.Series([list(model([list(x) for x in f])) for f in c], dtype=object)
+
+    tagged = rows.withColumn("iob", run(F.transform("f", lambda x: x["features"])))
+    spans_ = parse_biluo(iob_tags_to_biluo(F.col("iob")))
+    return tagged.select(*by, F.explode(spans_).alias("p")).select(*by, "p.*")
+
+
 def crf_features_wide(tokens: DataFrame, by: list[str]) -> DataFrame:
     """by, pos, features map<string,string>: word, tag and shape at five places, and their affixes of two and three letters alone
     and with tag and shape. Shape and affixes are those of the word at the place itself; a word not longer than the affix has none."""

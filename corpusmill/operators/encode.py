@@ -50,10 +50,27 @@ def affix_buckets(word: Column, buckets: int = 2000, n: int = 3) -> tuple[Column
 
 
 def dedup_by_content(df: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
-    """The first row in ``order`` of each text, with record_id; null texts are one text. A max-by aggregate, combined before the shuffle."""
+    """The first row in ``order`` of each text, with record_id; null texts are one text. A min-by aggregate, combined before the shuffle.
+
+    Texts are told apart by the whole of a 256-bit digest; record_id, 60 bits of another one, is only shown.
+    """
     rest = [c for c in df.columns]
-    key = record_id(F.col(text))
-    return df.select(key.alias("record_id"), F.struct(*rest).alias("r")).groupBy("record_id").agg(F.min_by("r", F.col(f"r.{order}")).alias("r")).select("record_id", "r.*")
+    first = df.select(F.sha2(text, 256).alias("k"), record_id(F.col(text)).alias("record_id"), F.struct(*rest).alias("r"))
+    return first.groupBy("k").agg(F.first("record_id").alias("record_id"), F.min_by("r", F.col(f"r.{order}")).alias("r")).select("record_id", "r.*")
+
+
+def new_records(df: DataFrame, seen: DataFrame, text: str = "text", order: str = "doc_id") -> DataFrame:
+    """Incremental work: rows as dedup_by_content gives them whose text is not among the texts of ``seen`` (text or digest column ``k``)."""
+    old = seen.select(F.col("k") if "k" in seen.columns else F.sha2(text, 256).alias("k")).distinct()
+    fresh = dedup_by_content(df, text, order).withColumn("__k", F.sha2(text, 256))
+    return fresh.join(old, fresh["__k"].eqNullSafe(old["k"]), "left_anti").drop("__k")
+
+
+def union_values(codes: DataFrame, df: DataFrame, column: str) -> DataFrame:
+    """value, code: the values of an earlier run keep their codes, new ones follow in sorted order."""
+    size = codes.agg(F.coalesce(F.max("code") + 1, F.lit(0)).alias("n")).first()["n"]
+    new = df.select(F.col(column).alias("value")).where("value is not null").distinct().join(codes.select("value"), "value", "left_anti")
+    return codes.select("value", "code").union(dense_ids(new, ["value"], "code", size))
 
 
 def pad(values: Column, width: Column | int, with_: int) -> Column:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+SALTS = 64
+
 
 def map_reduce(df: DataFrame, key: Column, value: Column, reduce: Callable[[Column], Column]) -> DataFrame:
     """key, value with a built-in aggregate, such as F.sum. Null keys are dropped."""
@@ -29,15 +31,22 @@ def map_fold(df: DataFrame, map_fn: Callable[[dict], Iterable[tuple]], reduce_fn
                 acc[k] = reduce_fn(acc.get(k), v)
         return acc
 
+    def frame(keys, values):  # objects, so that no key or value changes its type, nor does an empty batch
+        return pd.DataFrame({names[0]: pd.Series(list(keys), dtype=object), names[1]: pd.Series(list(values), dtype=object)})
+
     def partial(batches):
         for b in batches:
-            acc = fold(p for row in b.to_dict("records") for p in map_fn(row))
-            yield pd.DataFrame({names[0]: list(acc), names[1]: list(acc.values())})
+            rows = (dict(zip(b.columns, r)) for r in zip(*(b[c].tolist() for c in b.columns)))
+            acc = fold(p for row in rows for p in map_fn(row))
+            yield frame(acc.keys(), acc.values())
 
     def final(keys, pdf):
         acc = None
-        for v in pdf[names[1]]:
+        for v in pdf[names[1]].tolist():
             acc = reduce_fn(acc, v)
-        return pd.DataFrame({names[0]: [keys[0]], names[1]: [acc]})
+        return frame([keys[0]], [acc])
 
-    return df.mapInPandas(partial, schema).groupBy(names[0]).applyInPandas(final, schema)
+    # a hot key's partial results are folded in SALTS parts before they meet
+    part = df.mapInPandas(partial, schema).withColumn("__salt", F.spark_partition_id() % SALTS)
+    once = part.groupBy(names[0], "__salt").applyInPandas(final, schema)
+    return once.groupBy(names[0]).applyInPandas(final, schema)

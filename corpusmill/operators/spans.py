@@ -65,7 +65,39 @@ def parse_biluo(tags: Column) -> Column:
 
 def without_place(tag: Column) -> Column:
     """B-x and U-x -> x, all else -> O."""
-    return F.when(tag.rlike("^[BU]-"), F.substring(tag, 3, 1_000_000)).otherwise("O")
+    return F.when(tag.rlike("^[BU]-"), F.substring(tag, F.lit(3), F.length(tag))).otherwise("O")
+
+
+def runs_of(flags: Column, label) -> Column:
+    """array<struct<first, last, label>>: the runs of true flags of a sentence; ``label(first, last)`` gives each its name."""
+    kind = "array<struct<first:int,last:int>>"
+    zero = F.struct(F.lit(0).alias("i"), F.array().cast(kind).alias("runs"))
+
+    def step(s, f):
+        before = F.try_element_at(s["runs"], F.lit(-1))
+        goes_on = F.coalesce(before["last"] == s["i"], F.lit(False))
+        longer = F.concat(F.slice(s["runs"], F.lit(1), F.greatest(F.size(s["runs"]) - 1, F.lit(0))), F.array(F.struct(before["first"].alias("first"), (s["i"] + 1).alias("last"))))
+        new = F.concat(s["runs"], F.array(F.struct(s["i"].alias("first"), (s["i"] + 1).alias("last"))))
+        return F.struct((s["i"] + 1).alias("i"), F.when(~F.coalesce(f, F.lit(False)), s["runs"]).when(goes_on, longer).otherwise(new).cast(kind).alias("runs"))
+
+    runs = F.aggregate(flags, zero, step, lambda s: s["runs"])
+    return F.transform(runs, lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"), label(r["first"], r["last"]).alias("label")))
+
+
+def biluo_tags(n: Column, spans: Column) -> Column:
+    """array<string> of n tags for spans (first, last, label) of one sentence, within the row; the first span that covers a token counts."""
+
+    def tag(i):
+        s = F.get(F.filter(spans, lambda x: (x["first"] <= i) & (i < x["last"])), 0)
+        first, last = i == s["first"], i + 1 == s["last"]
+        return F.when(s.isNull(), "O").otherwise(F.concat_ws("-", F.when(first & last, "U").when(first, "B").when(last, "L").otherwise("I"), s["label"]))
+
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), tag)).otherwise(F.array().cast("array<string>"))
+
+
+def iob_tags_to_biluo(tags: Column) -> Column:
+    """The tags of one sentence, within the row."""
+    return F.transform(tags, lambda t, i: iob_to_biluo(t, F.get(tags, i + 1)))
 
 
 def dash_to_o(tag: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import cut, dense_ids
+from ..plans.storage import broadcast_if_small, cut, dense_ids
 
 SPECIALS = ("<Lua heritage>", "<pad>", "</s>", "<unk>")
 UNK = 3
@@ -49,7 +49,7 @@ def sample_words(vocab: DataFrame, n: int, limit_top: int | None = None, seed: i
     v = vocab if limit_top is None else vocab.where(F.col("id") < limit_top)
     v = cut(v.select("id", "word", "count", F.expr("id div 65536").alias("r")))
     per = v.groupBy("r").agg(F.sum("count").alias("w")).selectExpr("r", "w", "coalesce(sum(w) over (order by r rows between unbounded preceding and 1 preceding), 0) as base", "sum(w) over () as total")
-    per = F.broadcast(cut(per))  # a row for 65,536 words
+    per = broadcast_if_small(cut(per))  # a row for 65,536 words
     draws = v.sparkSession.range(n).select(F.col("id").alias("draw"), F.rand(seed).alias("u"))
     placed = draws.join(per, F.floor(F.col("u") * F.col("total")).between(F.col("base"), F.col("base") + F.col("w") - 1)).select("draw", "r", (F.floor(F.col("u") * F.col("total")) - F.col("base")).alias("at"))
     spans = v.selectExpr("id", "word", "r", "count", "sum(count) over (partition by r order by id) as upto")

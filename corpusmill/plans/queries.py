@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunks, corpus, encode, fuzzy, index, mapreduce, phrases, scoring, search, spans, tokens, vocab
 from ..sources import readers
-from .storage import cut
+from .storage import cut, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -103,8 +103,7 @@ def _(s, d):
 
 
 def _token_arrays(s, d):
-    t = tokens.token_offsets(docs_of(s, d)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "tailspace"))).alias("t"))
-    return t.select("doc_id", F.transform("t", lambda x: F.struct(x["word"].alias("text"), x["tailspace"].alias("tailspace"))).alias("t"))
+    return tokens.offset_arrays(docs_of(s, d))
 
 
 @query("detokenize", f"WITH {OFFS} SELECT doc_id, trim(string_agg(word || repeat(' ', tailspace), '' ORDER BY pos)) AS text FROM offs GROUP BY doc_id")
@@ -120,7 +119,8 @@ def _(s, d):
 @query("merge_apostrophe_s", f"""WITH {_dtoks()}, n AS (SELECT *, lead(word) OVER w AS nx, lag(word) OVER w AS lw FROM toks WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
 SELECT doc_id, pos, CASE WHEN word IN ('''', '`', '’', '‘') AND nx = 's' THEN '''s' ELSE word END AS word FROM n WHERE NOT (coalesce(lw IN ('''', '`', '’', '‘'), FALSE) AND word = 's')""")
 def _(s, d):
-    return tokens.merge_apostrophe_s(tokens.tokenize(docs_of(s, d)), ["doc_id"])
+    merged = docs_of(s, d).select("doc_id", F.explode(tokens.merge_apostrophes(T.tokens_of(F.col("text")))).alias("t"))
+    return merged.select("doc_id", "t.pos", "t.word")
 
 
 @query("sentences", f"WITH {SENTS} SELECT doc_id, sent, text FROM sents")
@@ -336,8 +336,22 @@ def search_topk(s, d):
 @query("search_idf", f"""WITH {_sarr(True)}, {_QW}, {_TW}, df AS (SELECT a, count(*) AS df FROM terms GROUP BY a), w AS (SELECT a, ln((SELECT count(*) FROM sarr) / df) AS weight FROM df)
 SELECT query_id, doc_id, round(sum(qt.n * t.n * weight), 6) AS score FROM qt JOIN w USING (a) JOIN (SELECT doc_id, a, count(*) AS n FROM terms GROUP BY ALL) t ON t.a = qt.a GROUP BY query_id, doc_id""")
 def _(s, d):
-    a = tokens.sentence_arrays(docs_of(s, d), lower=True)
-    return search.ranked(search.query_terms(_bench(s, d)), a, search.idf_weights(a)).withColumn("score", F.round("score", 6))
+    a, terms = tokens.sentence_arrays(docs_of(s, d), lower=True), cut(search.query_terms(_bench(s, d)))
+    return search.ranked(terms, a, search.idf_weights(a, terms=terms)).withColumn("score", F.round("score", 6))
+
+
+@query("search_stored", f"WITH {_sarr(True)}, {_QW}, {_TW}, {_RANKED} SELECT * FROM r")
+def _(s, d):
+    """Ranked search over posting lists that were written and read back."""
+    c = cut(corpus.build_corpus(docs_of(s, d), lower=True))
+    path = shared_folder(s)
+    index.save_postings(index.posting_lists(c), path)
+    return search.ranked_stored(search.query_terms(_bench(s, d)), index.load_postings(s, path), c.select("doc_id", "sent_id"))
+
+
+@query("search_facade", f"WITH {_sarr(True)}, {_QW}, {_TW}, {_RANKED} SELECT * FROM r")
+def _(s, d):
+    return search.query(_bench(s, d), tokens.sentence_arrays(docs_of(s, d), lower=True))
 
 
 @query("search_biword", f"WITH {_sarr(True)}, {PAIRS}, {_QB}, terms AS (SELECT DISTINCT doc_id, sent, a, b FROM pairs), {_RANKED} SELECT * FROM r")
@@ -383,12 +397,12 @@ def _(s, d):
 
 @query("npmi_candidates", f"WITH {_sarr(False)}, {PAIRS}, {NPMI} SELECT a, b, count, round(npmi, 6) AS npmi FROM npmi WHERE npmi > 0.5")
 def _(s, d):
-    return phrases.candidates(tokens.sentence_arrays(docs_of(s, d)), 0.5).withColumn("npmi", F.round("npmi", 6))
+    return phrases.candidates(cut(tokens.sentence_arrays(docs_of(s, d))), 0.5).withColumn("npmi", F.round("npmi", 6))
 
 
 @query("npmi_phrases", f"WITH {_sarr(False)}, {PAIRS}, {NPMI} SELECT a, b, count, round(npmi, 6) AS npmi FROM npmi WHERE npmi >= 0.8")
 def _(s, d):
-    return phrases.candidates(tokens.sentence_arrays(docs_of(s, d)), 0.8, inclusive=True).withColumn("npmi", F.round("npmi", 6))
+    return phrases.candidates(cut(tokens.sentence_arrays(docs_of(s, d))), 0.8, inclusive=True).withColumn("npmi", F.round("npmi", 6))
 
 
 _HIT = """hit AS (SELECT p.*, i - row_number() OVER (PARTITION BY doc_id, sent ORDER BY i) AS run FROM pairs p SEMI JOIN ph ON ph.a = p.a AND ph.b = p.b),
@@ -403,13 +417,13 @@ _LEFT = _HIT.format("i - min(i) OVER (PARTITION BY doc_id, sent, run)", " ")
 
 @query("collapse_phrases", f"WITH {_sarr(False)}, {PAIRS}, {NPMI}, ph AS (SELECT a, b FROM npmi WHERE npmi > 0.5), {_RIGHT} SELECT doc_id, sent, tokens FROM merged")
 def _(s, d):
-    a = tokens.sentence_arrays(docs_of(s, d))
+    a = cut(tokens.sentence_arrays(docs_of(s, d)))
     return phrases.merge_phrases(a, phrases.candidates(a, 0.5), ["doc_id", "sent"]).where(F.size("tokens") > 0)
 
 
 @query("merge_bigrams", f"WITH {_sarr(False)}, {PAIRS}, {NPMI}, ph AS (SELECT a, b FROM npmi WHERE npmi >= 0.8), {_LEFT} SELECT doc_id, sent, tokens FROM merged")
 def _(s, d):
-    a = tokens.sentence_arrays(docs_of(s, d))
+    a = cut(tokens.sentence_arrays(docs_of(s, d)))
     return phrases.merge_phrases(a, phrases.candidates(a, 0.8, inclusive=True), ["doc_id", "sent"], " ", from_right=False).where(F.size("tokens") > 0)
 
 
@@ -437,8 +451,8 @@ def _(s, d):
     return fuzzy.fuzzy_pairs(_words(s, d))
 
 
-@query("fuzzy_search", f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), {TOK})) AS word FROM documents), q AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), {TOK})) AS word FROM benchmark),
-v AS ({_DEL.format('w')}), u AS ({_DEL.format('q')}), c AS (SELECT x.word AS query, y.word AS word FROM u x JOIN v y ON x.v = y.v AND x.i = y.i WHERE x.word <> y.word UNION SELECT q.word, v.word FROM q JOIN v ON v.v = q.word UNION SELECT u.word, w.word FROM u JOIN w ON u.v = w.word)
+@query("fuzzy_search", f"""WITH w AS MATERIALIZED (SELECT DISTINCT unnest(regexp_extract_all(lower(text), {TOK})) AS word FROM documents), q AS MATERIALIZED (SELECT DISTINCT unnest(regexp_extract_all(lower(text), {TOK})) AS word FROM benchmark),
+v AS MATERIALIZED ({_DEL.format('w')}), u AS MATERIALIZED ({_DEL.format('q')}), c AS (SELECT x.word AS query, y.word AS word FROM u x JOIN v y ON x.v = y.v AND x.i = y.i WHERE x.word <> y.word UNION SELECT q.word, v.word FROM q JOIN v ON v.v = q.word UNION SELECT u.word, w.word FROM u JOIN w ON u.v = w.word)
 SELECT query, word, 1::INTEGER AS distance FROM c UNION ALL SELECT q.word, w.word, 0 FROM q JOIN w ON q.word = w.word""")
 def _(s, d):
     return fuzzy.fuzzy_search(tokens.tokenize(table(s, d, "benchmark"), "item_id", lower=True), _words(s, d))
@@ -449,18 +463,21 @@ def _sent_tokens(s, d):
     return tokens.sentence_tokens(docs_of(s, d))
 
 
-def _entities(t: DataFrame) -> DataFrame:
+def _runs(words):
     """Runs of capitalised tokens as spans; a label out of the shortest word's length."""
-    from pyspark.sql import Window
+    name = lambda a, z: F.concat(F.lit("ent"), (1 + F.array_min(F.transform(F.slice(words, a + 1, z - a), F.length)) % 3).cast("string"))
+    return spans.runs_of(F.transform(words, lambda w: w.rlike(r"^\p{Lu}")), name)
+
 
-    w = Window.partitionBy("doc_id", "sent").orderBy("pos")
-    cap = t.where(F.col("word").rlike(r"^\p{Lu}")).withColumn("run", F.col("pos") - F.row_number().over(w))
-    return cap.groupBy("doc_id", "sent", "run").agg(F.min("pos").alias("first"), (F.max("pos") + 1).alias("last"), F.concat(F.lit("ent"), 1 + F.min(F.length("word")) % 3).alias("label")).drop("run")
+def _tagged_rows(s, d):
+    """doc_id, sent, tokens, tags: sentences in rows, tagged without a shuffle."""
+    a = tokens.sentence_arrays(docs_of(s, d)).withColumn("spans", _runs(F.col("tokens")))
+    return a.select("doc_id", "sent", "tokens", spans.biluo_tags(F.size("tokens"), F.col("spans")).alias("tags"))
 
 
 def _biluo(s, d):
-    t = _sent_tokens(s, d)
-    return spans.biluo_encode(t, _entities(t), ["doc_id", "sent"])
+    t = _tagged_rows(s, d).select("doc_id", "sent", F.posexplode(F.arrays_zip("tokens", "tags")).alias("pos", "t"))
+    return t.select("doc_id", "sent", "pos", F.col("t.tokens").alias("word"), F.col("t.tags").alias("tag"))
 
 
 _CHAR = r"""cap AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM offs WHERE regexp_matches(word, '^\p{Lu}')),
@@ -484,8 +501,14 @@ def _(s, d):
 
 @query("biluo_decode", f"WITH {_toks()}, {_SPAN} SELECT doc_id, sent, first::INTEGER AS first, last::INTEGER AS last, label FROM sp")
 def _(s, d):
-    t = _biluo(s, d).groupBy("doc_id", "sent").agg(F.array_sort(F.collect_list(F.struct("pos", "tag"))).alias("t"))
-    return t.select("doc_id", "sent", F.explode(spans.parse_biluo(F.transform("t", lambda x: x["tag"]))).alias("s")).select("doc_id", "sent", "s.*")
+    return _tagged_rows(s, d).select("doc_id", "sent", F.explode(spans.parse_biluo(F.col("tags"))).alias("s")).select("doc_id", "sent", "s.*")
+
+
+@query("biluo_encode_long", f"WITH {_toks()}, {BILUO} SELECT doc_id, sent, pos, word, tag FROM tagged")
+def _(s, d):
+    """From token rows and span rows, by a join."""
+    entities = _tagged_rows(s, d).select("doc_id", "sent", F.explode(spans.parse_biluo(F.col("tags"))).alias("s")).select("doc_id", "sent", "s.*")
+    return spans.biluo_encode(_sent_tokens(s, d), entities, ["doc_id", "sent"])
 
 
 @query("biluo_no_loc", f"WITH {_toks()}, {BILUO} SELECT doc_id, sent, pos, CASE WHEN tag[1:1] IN ('B', 'U') THEN substr(tag, 3) ELSE 'O' END AS tag FROM tagged")
@@ -498,9 +521,9 @@ def _(s, d):
     return _biluo(s, d).select("doc_id", "sent", "pos", encode.o_mask(F.col("tag")).alias("is_o"))
 
 
-def _iob(s, d):
-    t = _biluo(s, d)
-    return t.select("doc_id", "sent", "pos", F.when(F.col("tag").rlike("^[BU]-"), "B-NP").when(F.col("tag") == "O", "O").otherwise("I-NP").alias("iob"))
+def _iob_rows(s, d):
+    iob = F.transform("tags", lambda t: F.when(t.rlike("^[BU]-"), "B-NP").when(t == "O", "O").otherwise("I-NP"))
+    return _tagged_rows(s, d).select("doc_id", "sent", spans.iob_tags_to_biluo(iob).alias("tags"))
 
 
 _IOB = "iob AS (SELECT doc_id, sent, pos, CASE WHEN tag[1:1] IN ('B', 'U') THEN 'B-NP' WHEN tag = 'O' THEN 'O' ELSE 'I-NP' END AS iob FROM tagged)"
@@ -508,19 +531,22 @@ _IOB = "iob AS (SELECT doc_id, sent, pos, CASE WHEN tag[1:1] IN ('B', 'U') THEN
 
 @query("iob_to_biluo", f"WITH {_toks()}, {BILUO} SELECT doc_id, sent, pos, CASE WHEN tag = 'O' THEN 'O' ELSE tag[1:1] || '-NP' END AS biluo FROM tagged")
 def _(s, d):
-    return spans.iob_rows_to_biluo(_iob(s, d), ["doc_id", "sent"]).select("doc_id", "sent", "pos", "biluo")
+    return _iob_rows(s, d).select("doc_id", "sent", F.posexplode("tags").alias("pos", "biluo"))
 
 
 @query("biluo_to_iob", f"WITH {_toks()}, {BILUO}, {_IOB} SELECT * FROM iob")
 def _(s, d):
-    t = spans.iob_rows_to_biluo(_iob(s, d), ["doc_id", "sent"])
-    return t.select("doc_id", "sent", "pos", spans.biluo_to_iob(F.col("biluo")).alias("iob"))
+    return _iob_rows(s, d).select("doc_id", "sent", F.posexplode(F.transform("tags", spans.biluo_to_iob)).alias("pos", "iob"))
 
 
 def _tagged(s, d):
     return _sent_tokens(s, d).withColumn("tag", T.tag_of(F.col("word")))
 
 
+def _words_and_tags(s, d):
+    return tokens.sentence_arrays(docs_of(s, d)).select("doc_id", "sent", F.col("tokens").alias("words"), F.transform("tokens", T.tag_of).alias("tags"))
+
+
 _LETTER = "CASE " + " ".join(f"WHEN lower(word) = '{p}' THEN '{c}'" for p, c in chunks.PREPOSITIONS.items()) + f" ELSE CASE ({TAG}) WHEN 'DET' THEN 'D' WHEN 'NOUN' THEN 'N' WHEN 'ADJ' THEN 'A' ELSE 'x' END END"
 _MERGES = "s2"
 for _i, _c in enumerate(chunks.PREPOSITIONS.values()):
@@ -537,14 +563,15 @@ SELECT t.doc_id, t.sent, x.a::INTEGER AS first, y.z::INTEGER AS last, CASE WHEN
   array_to_string(words[(x.a + 1)::BIGINT:y.z::BIGINT], '_') AS chunk
 FROM two t JOIN one x ON x.doc_id = t.doc_id AND x.sent = t.sent AND x.q = t.q JOIN one y ON y.doc_id = t.doc_id AND y.sent = t.sent AND y.q = t.q + length(p) - 1 WHERE regexp_matches(p, '^[P0-9]')""")
 def _(s, d):
-    return chunks.np_chunks(_tagged(s, d), ["doc_id", "sent"])
+    letters = F.transform(F.arrays_zip("words", "tags"), lambda x: chunks.tag_letter(x["words"], x["tags"]))
+    return chunks.chunk_rows(_words_and_tags(s, d).withColumn("letters", letters), ["doc_id", "sent"])
 
 
 @query("crf_features", f"""WITH {_toks()}, t AS (SELECT *, {TAG} AS tag, {SHAPE} AS shape FROM toks), u AS (SELECT *, lower(word) AS w, CASE WHEN tag LIKE 'V%' THEN 'V' ELSE split_part(tag, '-', 1) END AS sp, lower(tag) AS lt FROM t),
 v AS (SELECT *, {', '.join(f"coalesce({f}({c}, {k}) OVER x, '') AS {n}" for f, c, k, n in [('lag', 'w', 1, 'pw'), ('lag', 'w', 2, 'ppw'), ('lead', 'w', 1, 'nw'), ('lead', 'w', 2, 'nnw'), ('lag', 'sp', 1, 'pp'), ('lag', 'sp', 2, 'ppp'), ('lead', 'lt', 1, 'np'), ('lead', 'lt', 2, 'nnp')])} FROM u WINDOW x AS (PARTITION BY doc_id, sent ORDER BY pos))
 SELECT doc_id, sent, pos, [shape, length(word)::VARCHAR, lower(word[1:3]), lower(right(word, 3)), sp, word, pp, np, pw, nw, ppw, nnw, {', '.join(f"{a} || '+' || {b}" for a in ('w', 'sp') for b in ('np', 'nnp', 'pp', 'ppp'))}] AS features FROM v""")
 def _(s, d):
-    return chunks.crf_features(_tagged(s, d), ["doc_id", "sent"])
+    return chunks.feature_rows(_words_and_tags(s, d), ["doc_id", "sent"])
 
 
 @query("crf_features_wide")
@@ -600,7 +627,7 @@ def _(s, d):
     return tokens.tokenize(docs_of(s, d)).select("word").distinct().select("word", a.alias("prefix"), b.alias("suffix"))
 
 
-@query("dedup_by_hash", "SELECT ('0x' || substr(md5(text), 18, 15))::BIGINT AS record_id, min(doc_id) AS doc_id FROM documents GROUP BY 1")
+@query("dedup_by_hash", "SELECT ('0x' || substr(md5(text), 18, 15))::BIGINT AS record_id, min(doc_id) AS doc_id FROM documents GROUP BY text")
 def _(s, d):
     return encode.dedup_by_content(table(s, d, "documents").select("doc_id", "text")).select("record_id", "doc_id")
 
@@ -658,8 +685,9 @@ def _(s, d):
     return encode.pad_batches(cut(_batches(s, d, _vocab))).select("batch", "doc_id", "n_tokens", "ids", "mask")
 
 
-@query("shuffle")
+@query("shuffle", "SELECT doc_id, n_chars FROM documents")
 def _(s, d):
+    """The order isn't compared here, but by a test."""
     return encode.shuffled(table(s, d, "documents").select("doc_id", "n_chars"), 7)
 
 

@@ -2,24 +2,46 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 << 20
 _LOCAL: list[str] = []
+_USED: dict[str, SparkSession] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; below a temporary one only where a session (as in tests) names none."""
+    """A new folder below ``spark.checkpoint.dir``, in one of the application's own.
+
+    Where a session in local mode (as in tests) names none, a temporary one stands in; on a cluster that is an error, as each
+    executor would write to a disk of its own.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _LOCAL:
             _LOCAL.append("file://" + tempfile.mkdtemp(prefix="corpusmill-"))
+            atexit.register(shutil.rmtree, _LOCAL[0][7:], ignore_errors=True)
         base = _LOCAL[0]
-    return f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
+    own = f"{base.rstrip('/')}/corpusmill-{spark.sparkContext.applicationId}"
+    _USED[own] = spark
+    return f"{own}/table-{uuid.uuid4().hex}"
+
+
+def release() -> None:
+    """Deletes the intermediate tables of this application; results that read them must be written or collected before."""
+    for own, spark in list(_USED.items()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        del _USED[own]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -29,9 +51,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int = 64, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` (already written, so that counting is cheap) with a broadcast hint if its rows fit in ``limit``."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+def measured(df: DataFrame) -> int:
+    """Bytes of the values of ``df`` (already written, so that this is cheap), with 16 for each value."""
+    size = F.lit(0).cast("long")
+    for f in df.schema:
+        text = F.col(f.name) if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.to_json(F.struct(f.name)) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.lit("")
+        size = size + F.coalesce(F.sum(F.octet_length(text)), F.lit(0)) + F.count("*") * F.lit(16)
+    return df.agg(size.alias("n")).first()["n"]
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` (already written) with a broadcast hint if its measured bytes fit in ``limit``."""
+    return F.broadcast(df) if measured(df) <= limit else df
 
 
 def dense_ids(df: DataFrame, order: list[Column | str], name: str, start: int = 0) -> DataFrame:
