@@ -35,7 +35,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, fits, parallelism, shared_dir, table
+from ..plans.storage import shared_folder
+from .common import Memo, fits, parallelism, table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -284,7 +285,7 @@ def encode(docs: DataFrame, text: str = "text", keep: list[str] | None = None, t
     spark = docs.sparkSession
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "n_tokens")]
     docs = docs.select(*dict.fromkeys([*keep, text]))
-    path = shared_dir(spark)
+    path = shared_folder(spark)
     words = docs.select(text).mapInArrow(_segment_words(room), "word binary, segment long, number int")
     coded = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_words(tokenizer), "segment long, number int, ids binary, check long")
     folders = min(FOLDERS, parallelism(spark))

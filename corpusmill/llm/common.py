@@ -2,30 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-_FALLBACK: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below the cluster's ``spark.checkpoint.dir``.
-
-    Only where the session names none (unit tests on one machine) a temporary folder stands in.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _FALLBACK:
-            _FALLBACK.append("file://" + tempfile.mkdtemp(prefix="corpusmill-"))
-        base = _FALLBACK[0]
-    return f"{base.rstrip('/')}/corpusmill-{uuid.uuid4().hex}"
 
+from ..plans.storage import BROADCAST_BYTES, measured, shared_folder
 
 def materialize(df: DataFrame, compression: str = "zstd", packed: str = "") -> DataFrame:
     """Cut lineage with a written table in the shared folder; its readers survive lost executors.
@@ -33,7 +15,7 @@ def materialize(df: DataFrame, compression: str = "zstd", packed: str = "") -> D
     ``packed``: a binary column that is dense already, for which a dictionary would be tried in vain.
     """
     spark = df.sparkSession
-    path = shared_dir(spark)
+    path = shared_folder(spark)
     w = df.write.option("compression", compression)
     (w.option(f"parquet.enable.dictionary#{packed}", "false") if packed else w).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -77,22 +59,9 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def bytes_of(kind: T.DataType) -> int | None:
-    """Bytes of a value of a type of fixed width, as a row holds it."""
-    return None if isinstance(kind, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)) else 8
-
-
-def fits(df: DataFrame, limit_bytes: int = 64 << 20) -> bool:
+def fits(df: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> bool:
     """True when ``df`` (already written, so that measuring is cheap) may be broadcast: the bytes of its values are counted."""
-    size = F.count("*") * F.lit(16)
-    for f in df.schema:
-        width = bytes_of(f.dataType)
-        if width:
-            size = size + F.count("*") * F.lit(width)
-        else:
-            value = F.col(f.name) if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.to_json(F.struct(f.name))
-            size = size + F.coalesce(F.sum(F.octet_length(value)), F.lit(0)) + F.count("*") * F.lit(16)
-    return df.agg(size.alias("n")).first()["n"] <= limit_bytes
+    return measured(df) <= limit_bytes
 
 
 def drop_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:

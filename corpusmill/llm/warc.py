@@ -34,7 +34,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, parallelism, shared_dir, table
+from ..plans.storage import shared_folder
+from .common import materialize, parallelism, table
 
 PIECE = 1 << 16
 BLOB = 4 << 20
@@ -368,7 +369,7 @@ def write_warc_files(pages: DataFrame, folder: str) -> DataFrame:
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages through WARC files in the shared folder and back."""
-    r = read_warc_files(write_warc_files(table(spark, sf_dir, "pages"), shared_dir(spark)))
+    r = read_warc_files(write_warc_files(table(spark, sf_dir, "pages"), shared_folder(spark)))
     return r.select(F.regexp_extract("record_id", r"urn:page:(\d+)", 1).try_cast("long").alias("page_id"), F.col("target_uri").alias("url"), F.decode("payload", "UTF-8").alias("html"), "http_status", "block_digest_ok", "payload_digest_ok")
 
 
