@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -46,6 +47,11 @@ def deaccent(texts: pd.Series) -> pd.Series:
     return texts.map(lambda s: None if s is None else strip_marks(s))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once a row, though body uses it for each element of an array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize(text: Column, lower: bool = False, remove_accents: bool = True) -> Column:
     out = deaccent(text) if remove_accents else text
     return F.lower(out) if lower else out

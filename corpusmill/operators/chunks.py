@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import word_shape
+from ..functions.text import let, word_shape
 from .spans import iob_tags_to_biluo, parse_biluo
 
 PREPOSITIONS = {"of": "o", "in": "i", "with": "w", "for": "f", "on": "n", "over": "v", "throughout": "t"}
@@ -88,12 +88,12 @@ def repair_tags(tags: Column) -> Column:
     """array<string>, left to right: ``B-NP*`` goes on with the phrase before it or begins one; an orphan I-NP begins one."""
     # a tag depends on the one before it only by whether that lies in a phrase, which its unrepaired form tells as well: any NP
     # tag stays one. The first tag stays as it is, and B-NP* there lies in none.
-    def fixed(t, i):
-        left = F.get(tags, i - 1)
+    def fixed(x, t, i):
+        left = F.get(x, i - 1)
         inside = F.coalesce(left.isin("B-NP", "I-NP") | ((left == "B-NP*") & (i > 1)), F.lit(False))
         return F.when(i == 0, t).when((t == "B-NP*") & inside, "I-NP").when((t == "B-NP*") | ((t == "I-NP") & ~inside), "B-NP").otherwise(t)
 
-    return F.transform(tags, fixed)
+    return let(tags, lambda x: F.transform(x, lambda t, i: fixed(x, t, i)))
 
 
 def _simple_tag(tag: Column) -> Column:
@@ -121,19 +121,18 @@ def crf_features(tokens: DataFrame, by: list[str]) -> DataFrame:
 
 def feature_rows(sents: DataFrame, by: list[str], words: str = "words", tags: str = "tags") -> DataFrame:
     """crf_features of sentences in rows (by, words, tags), made within the row: by, pos, features."""
-    low = F.transform(words, F.lower)
-    simple, tag = F.transform(tags, _simple_tag), F.transform(tags, F.lower)
-    s = sents.select(*by, F.col(words).alias("w"), low.alias("lw"), simple.alias("s"), tag.alias("t"))
     at = lambda c, i: F.coalesce(F.get(c, i), F.lit(""))
     plus = lambda a, b: F.concat(a, F.lit("+"), b)
 
-    def features(w, i):
-        lw, pos = F.get("lw", i), F.get("s", i)
-        around = [at("t", i + 1), at("t", i + 2), at("s", i - 1), at("s", i - 2)]
-        f = [word_shape(w), F.length(w).cast("string"), F.substring(lw, 1, 3), F.right(lw, F.lit(3)), pos, w, around[2], around[0], at("lw", i - 1), at("lw", i + 1), at("lw", i - 2), at("lw", i + 2)]
+    def features(s, w, i):
+        lw, pos = F.get(s["lw"], i), F.get(s["s"], i)
+        around = [at(s["t"], i + 1), at(s["t"], i + 2), at(s["s"], i - 1), at(s["s"], i - 2)]
+        f = [word_shape(w), F.length(w).cast("string"), F.substring(lw, 1, 3), F.right(lw, F.lit(3)), pos, w, around[2], around[0], at(s["lw"], i - 1), at(s["lw"], i + 1), at(s["lw"], i - 2), at(s["lw"], i + 2)]
         return F.array(*f, *[plus(lw, x) for x in around], *[plus(pos, x) for x in around])
 
-    return s.select(*by, F.posexplode(F.transform("w", features)).alias("pos", "features"))
+    s = F.struct(F.col(words).alias("w"), F.transform(words, F.lower).alias("lw"), F.transform(tags, _simple_tag).alias("s"), F.transform(tags, F.lower).alias("t"))
+    rows = let(s, lambda x: F.transform(x["w"], lambda w, i: features(x, w, i)))
+    return sents.select(*by, F.posexplode(rows).alias("pos", "features"))
 
 
 def parse_with(sents: DataFrame, make_model: Callable[[], Callable[[list[list[str]]], list[str]]], by: list[str]) -> DataFrame:

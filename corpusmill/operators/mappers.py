@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..plans.storage import BROADCAST_BYTES, cut, measured
 from .encode import encode_values
 from .spans import biluo_tags
@@ -96,9 +97,10 @@ def labelled_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", en
     t = offset_arrays(docs, key, text)
     spans = docs.select(F.col(key).alias("__k"), *[F.col(c) for c in docs.columns if c != key])
     j = spans.join(t, spans["__k"] == t[key], "left").drop("__k")
-    starts, ends = F.transform("t", lambda x: x["start"]), F.transform("t", lambda x: x["start"] + x["length"])
-    place = lambda e: F.struct((F.array_position(starts, e["start"]) - 1).alias("first"), F.array_position(ends, e["end"]).alias("last"), e["label"].alias("label"))
-    found = F.filter(F.transform(F.coalesce(F.col(ents), F.array().cast(ENTS)), place), lambda s: (s["first"] >= 0) & (s["last"] > s["first"]))
+    sides = F.struct(F.transform("t", lambda x: x["start"]).alias("a"), F.transform("t", lambda x: x["start"] + x["length"]).alias("z"))
+    place = lambda x, e: F.struct((F.array_position(x["a"], e["start"]) - 1).alias("first"), F.array_position(x["z"], e["end"]).alias("last"), e["label"].alias("label"))
+    places = let(sides, lambda x: F.transform(F.coalesce(F.col(ents), F.array().cast(ENTS)), lambda e: place(x, e)))
+    found = F.filter(places, lambda s: (s["first"] >= 0) & (s["last"] > s["first"]))
     none = F.array().cast("array<string>")
     words = F.coalesce(F.transform("t", lambda x: x["text"]), none)
     return j.withColumn("tokens", words).withColumn("tags", F.coalesce(biluo_tags(F.size("tokens"), found), none)).withColumn("n_tokens", F.size("tokens")).drop("t")

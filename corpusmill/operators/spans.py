@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 
 def token_spans(tokens: DataFrame, spans: DataFrame, by: list[str]) -> DataFrame:
     """by, start, end, label, first, last (exclusive), aligned: character spans [start, end) as token spans.
@@ -87,17 +89,20 @@ def runs_of(flags: Column, label) -> Column:
 def biluo_tags(n: Column, spans: Column) -> Column:
     """array<string> of n tags for spans (first, last, label) of one sentence, within the row; the first span that covers a token counts."""
 
-    def tag(i):
-        s = F.get(F.filter(spans, lambda x: (x["first"] <= i) & (i < x["last"])), 0)
+    def tag(i, s):
         first, last = i == s["first"], i + 1 == s["last"]
         return F.when(s.isNull(), "O").otherwise(F.concat_ws("-", F.when(first & last, "U").when(first, "B").when(last, "L").otherwise("I"), s["label"]))
 
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), tag)).otherwise(F.array().cast("array<string>"))
+    def tags(x):
+        one = lambda i: tag(i, F.get(F.filter(x["s"], lambda s: (s["first"] <= i) & (i < s["last"])), F.lit(0)))
+        return F.when(x["n"] > 0, F.transform(F.sequence(F.lit(0), x["n"] - 1), one)).otherwise(F.array().cast("array<string>"))
+
+    return let(F.struct(n.alias("n"), spans.alias("s")), tags)
 
 
 def iob_tags_to_biluo(tags: Column) -> Column:
     """The tags of one sentence, within the row."""
-    return F.transform(tags, lambda t, i: iob_to_biluo(t, F.get(tags, i + 1)))
+    return let(tags, lambda x: F.transform(x, lambda t, i: iob_to_biluo(t, F.get(x, i + 1))))
 
 
 def dash_to_o(tag: Column) -> Column:

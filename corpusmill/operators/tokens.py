@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import PIECES, SPACE, TOKEN, normalize, sentences_of, tokens_of
+from ..functions.text import PIECES, SPACE, TOKEN, let, normalize, sentences_of, tokens_of
 
 
 def tokenize(docs: DataFrame, key: str = "doc_id", text: str = "text", pattern: str = TOKEN, lower: bool = False, remove_accents: bool = False) -> DataFrame:
@@ -95,8 +95,8 @@ def sentence_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", lo
 def merge_apostrophes(tokens: Column) -> Column:
     """array<struct<pos, word>> of a row's tokens with an apostrophe and the ``s`` after it as one, at the apostrophe's place."""
     mark = lambda c: F.coalesce(c.isin("'", "`", "’", "‘"), F.lit(False))
-    at = F.transform(tokens, lambda x, i: F.struct(i.alias("pos"), F.when(mark(x) & (F.get(tokens, i + 1) == "s"), "'s").when(~((x == "s") & mark(F.get(tokens, i - 1))), x).alias("word")))
-    return F.filter(at, lambda x: x["word"].isNotNull())
+    at = lambda t: F.transform(t, lambda x, i: F.struct(i.alias("pos"), F.when(mark(x) & (F.get(t, i + 1) == "s"), "'s").when(~((x == "s") & mark(F.get(t, i - 1))), x).alias("word")))
+    return F.filter(let(tokens, at), lambda x: x["word"].isNotNull())
 
 
 def merge_apostrophe_s(tokens: DataFrame, by: list[str]) -> DataFrame:

@@ -465,8 +465,8 @@ def _sent_tokens(s, d):
 
 def _runs(words):
     """Runs of capitalised tokens as spans; a label out of the shortest word's length."""
-    name = lambda a, z: F.concat(F.lit("ent"), (1 + F.array_min(F.transform(F.slice(words, a + 1, z - a), F.length)) % 3).cast("string"))
-    return spans.runs_of(F.transform(words, lambda w: w.rlike(r"^\p{Lu}")), name)
+    name = lambda w, a, z: F.concat(F.lit("ent"), (1 + F.array_min(F.transform(F.slice(w, a + 1, z - a), F.length)) % 3).cast("string"))
+    return T.let(words, lambda w: spans.runs_of(F.transform(w, lambda x: x.rlike(r"^\p{Lu}")), lambda a, z: name(w, a, z)))
 
 
 def _tagged_rows(s, d):
