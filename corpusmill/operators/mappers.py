@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import let
 from ..plans.storage import BROADCAST_BYTES, cut, measured
@@ -69,11 +72,12 @@ def apply_mappers(records: DataFrame, specs: list[MapperSpec]) -> DataFrame:
             v = f"__v{k}"
             out = encode_values(out.withColumn(v, pre(F.col(s.field))), codes, v, name, s.default).withColumn(name, F.col(name).cast(s.dtype)).drop(v)
         elif measured(codes) <= BROADCAST_BYTES:
-            out = out.withColumn(name, _look_up(codes, s)(F.transform(s.field, pre)))
+            v = f"__v{k}"
+            out = _look_up(out.withColumn(v, F.transform(s.field, pre)), codes, s, v, name)
         else:
             numbered = cut(out.withColumn("__row", F.monotonically_increasing_id()))
             e = numbered.select("__row", F.posexplode(F.transform(s.field, pre)).alias("__p", "__e"))
-            got = encode_values(e, codes, "__e", "__c", s.default).groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("__p", F.col("__c").cast(s.dtype).alias("c")))).alias("__l"))
+            got = encode_values(e, codes, "__e", "__code", s.default).groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("__p", F.col("__code").cast(s.dtype).alias("c")))).alias("__l"))
             got = got.select(F.col("__row").alias("__r"), F.transform("__l", lambda x: x["c"]).alias(name))
             none = F.when(F.col(s.field).isNotNull(), F.array().cast(f"array<{s.dtype}>"))
             out = numbered.join(got, numbered["__row"] == got["__r"], "left").withColumn(name, F.coalesce(name, none)).drop("__row", "__r")
@@ -81,15 +85,24 @@ def apply_mappers(records: DataFrame, specs: list[MapperSpec]) -> DataFrame:
     return out.select(*plain, *[F.col(n).alias(t) for t, n in done.items()])
 
 
-def _look_up(codes: DataFrame, s: MapperSpec):
-    shared = codes.sparkSession.sparkContext.broadcast({r["value"]: r["code"] for r in codes.toLocalIterator()})
-
-    @F.pandas_udf(f"array<{s.dtype}>")
-    def run(col: pd.Series) -> pd.Series:
-        get, default = shared.value.get, s.default
-        return pd.Series([None if x is None else [get(w, default) for w in x.tolist()] for x in col], dtype=object)
-
-    return run
+def _look_up(records: DataFrame, codes: DataFrame, s: MapperSpec, column: str, name: str) -> DataFrame:
+    """records with ``name`` in place of ``column``, an array of values; an Arrow step of its own, as Catalyst inlines arguments of UDFs."""
+    shared, default = codes.sparkSession.sparkContext.broadcast({r["value"]: r["code"] for r in codes.toLocalIterator()}), s.default
+    kept = [f for f in records.schema.fields if f.name != column]
+    wanted = to_arrow_type(T.DataType.fromDDL(s.dtype))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values = b.column(column)
+            e = values.flatten().dictionary_encode(null_encoding="encode")
+            got = pa.array([shared.value.get(w, default) for w in e.dictionary.to_pylist()], type=wanted).take(e.indices)
+            ends = np.cumsum(values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+            coded = pa.ListArray.from_arrays(offsets, got, mask=values.is_null())
+            yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + [coded], names=[*names, name])
+
+    names = [f.name for f in kept]
+    return records.mapInArrow(run, T.StructType([*kept, T.StructField(name, T.ArrayType(T.DataType.fromDDL(s.dtype)))]))
 
 
 def labelled_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", ents: str = "ents") -> DataFrame:
