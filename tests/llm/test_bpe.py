@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -63,3 +64,46 @@ def test_unknown_id(spark):
     d = spark.createDataFrame([(1, [50256, -1, 10**6]), (2, []), (3, None), (None, [31373, None]), (4, [31373, 31373]), (4, [31373, 31373])], "doc_id long, ids array<int>").withColumn("id", F.lit("clash")).withColumn("piece", F.lit("clash"))
     got = sorted((str(r["doc_id"]), str(r["text"])) for r in B.decode(d).collect())
     assert got == [("1", "�" * 3), ("2", ""), ("3", "None"), ("4", "hellohello"), ("4", "hellohello"), ("None", "hello�")]
+
+
+def test_query_encodes_and_decodes(spark, library):
+    """The query's text comes from its ids by a join with the id-to-piece table."""
+    folder = "/root/testdata/sf0.001"
+    out = B.op3_bpe(spark, folder)
+    assert out.columns == ["doc_id", "ids", "n_tokens", "text"]
+    assert "Join" in out._jdf.queryExecution().executedPlan().toString()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = out.collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r["text"] == texts[r["doc_id"]] and list(r["ids"]) == library.encode_ordinary(r["text"]) and r["n_tokens"] == len(r["ids"])
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_text_beside_ids(spark, odd_docs, monkeypatch, small):
+    """With a broadcast table of pieces and with one that is too large for it; texts of one row over many batches."""
+    monkeypatch.setattr(B, "fits", lambda df: small)
+    e = B.encode(odd_docs, keep=["doc_id", "source"])
+    want = [(r["doc_id"], r["source"], r["ids"], r["n_tokens"]) for r in e.collect()]
+    for out in (B.with_text(e, ["doc_id", "source"]), B.encode_with_text(odd_docs, keep=["doc_id", "source"], room=50)):
+        got = out.collect()
+        assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["source"], r["ids"], r["n_tokens"])) for r in got)
+        assert sorted(str((r["doc_id"], r["text"])) for r in got) == sorted(str((r["doc_id"], r["text"])) for r in odd_docs.collect())
+
+
+@pytest.mark.parametrize("together", [1, 7, 10_000])
+def test_groups_cut_anywhere(monkeypatch, together):
+    """Groups of any size, in batches cut anywhere, against a plain loop."""
+    monkeypatch.setattr(B, "TOGETHER", together)
+    r = random.Random(4)
+    lists = [r.choice([None, [], [None], [r.choice((0, 5, 7, -2, 2**31 - 1)) for _ in range(r.randint(1, 40))], [None, 3]]) for _ in range(200)]
+    piece = {0: b"zero", 3: b"\xe6\xbc", 5: b"", 7: b"seven "}
+    rows = pa.RecordBatch.from_arrays([pa.array(range(200), pa.int64()), pa.array(lists, pa.list_(pa.int32()))], names=["__k0", "ids"])
+    t = pa.Table.from_batches(B._distinct_ids(iter([rows.slice(0, 0), rows.slice(0, 90), rows.slice(90)]))).combine_chunks()
+    t = t.add_column(1, "piece", pa.array([piece.get(i) for i in t.column(0).to_pylist()], pa.binary())).rename_columns(["id", "piece", "rows"])
+    cuts = [0, *sorted(r.sample(range(t.num_rows), 3)), t.num_rows]
+    batches = [b for a, z in zip(cuts, cuts[1:]) for b in t.slice(a, z - a).to_batches()]
+    got = pa.Table.from_batches(B._put_together(iter(batches))).to_pylist()
+    assert [(x["__k0"], x["ids"], x["n_tokens"]) for x in got] == [(i, v, None if v is None else len(v)) for i, v in enumerate(lists)]
+    assert [x["bytes"] for x in got] == [b"".join(piece.get(i, B.REPLACEMENT) for i in v or []) for v in lists]
+    assert list(B._put_together(iter([]))) == []
