@@ -37,7 +37,7 @@ def offset_arrays(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     def run(batches):
         for b in batches:
             for part in _slices(b):
-                row, word, start, length, tail, _ = _pieces(part.column(1))
+                row, word, start, length, tail, _ = offset_parts(part.column(1))
                 n = np.bincount(row, minlength=part.num_rows)
                 some = np.flatnonzero(n)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n[some])]).astype(np.int32)), pa.StructArray.from_arrays([word, pa.array(start), pa.array(length), pa.array(tail)], ["text", "start", "length", "tailspace"]))
@@ -50,7 +50,7 @@ def _slices(b: pa.RecordBatch, rows: int = 500):
     return (b.slice(a, rows) for a in range(0, b.num_rows, rows))
 
 
-def _pieces(lists: pa.Array):
+def offset_parts(lists: pa.Array):
     """(row, word, start, length, tailspace, pos) of all tokens of a batch."""
     n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = lists.flatten()
@@ -72,7 +72,7 @@ def _pieces(lists: pa.Array):
 def _offsets(batches):
     for b in batches:
         for part in _slices(b):
-            row, word, start, length, tail, pos = _pieces(part.column(1))
+            row, word, start, length, tail, pos = offset_parts(part.column(1))
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(pos), word, pa.array(start), pa.array(length), pa.array(tail)], names=["key", "pos", "word", "start", "length", "tailspace"])
 
 

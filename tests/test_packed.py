@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.operators import chunks
+from corpusmill.operators import chunks, packed, spans, tokens
 from corpusmill.plans.queries import QUERIES
 
 ODD = ["The", "green", "ORDER", "of", "'s", "3a", ".5", "x-y", "É", "ich", "\"", "\\", "\x01", "İz", "a.", "_", "ǅ", "running"]
@@ -54,3 +54,23 @@ def test_votes_are_looked_at_once(spark):
     """The votes' expression is not repeated for each place that uses it."""
     d = spark.createDataFrame([("a",)], "w string").select(chunks.pick_tag(F.array(F.md5("w"), F.lit("O")), F.lit("V")).alias("t"))
     assert d._jdf.queryExecution().analyzed().toString().count("md5(") == 1
+
+
+def test_spans_of_texts(spark):
+    docs = spark.createDataFrame([(1, "The Old dog. New"), (2, ""), (3, None), (4, "a😀b Cé")], "doc_id long, text string")
+    sp = spark.createDataFrame([(1, 0, 7, "x"), (1, 0, 5, None), (1, 4, 7, "x"), (1, 7, 4, "x"), (2, 0, 1, "x"), (3, 0, 1, "x"), (9, 0, 1, "x"), (4, 4, 6, "y"), (4, 1, 2, "y"), (4, None, 2, "y")], "doc_id long, start int, end int, label string")
+    assert rows(spans.token_spans_of_texts(docs, sp)) == rows(spans.token_spans(tokens.token_offsets(docs), sp, ["doc_id"]))
+    assert "Window" not in (p := QUERIES["token_spans"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()) and "word#" not in p
+
+
+def test_tags_of_texts(spark):
+    sents = spark.createDataFrame([(1, 0, "a b c d e f"), (1, 1, ""), (2, 0, "x y"), (3, 0, "z")], "doc_id long, sent int, text string")
+    sp = spark.createDataFrame([(1, 0, 0, 2, "p"), (1, 0, 0, 3, "q"), (1, 0, 2, 4, "r"), (1, 0, 5, 6, None), (2, 0, 1, 2, "s"), (2, 0, 7, 9, "s"), (1, 1, 0, 1, "t"), (8, 0, 0, 1, "t"), (3, 0, None, 1, "t")], "doc_id long, sent int, first int, last int, label string")
+    t = sents.select("doc_id", "sent", F.posexplode(T.tokens_of(F.col("text"))).alias("pos", "word"))
+    assert rows(spans.biluo_encode_texts(sents, sp, ["doc_id", "sent"])) == rows(spans.biluo_encode(t, sp, ["doc_id", "sent"]))
+    assert "Window" not in QUERIES["biluo_encode_long"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_iob_of_slices(spark):
+    """No aggregate walks over the tags with a list of the runs so far."""
+    assert "aggregate(" not in QUERIES["iob_to_biluo"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
