@@ -7,9 +7,9 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_phrase
+from ..functions.text import contains_phrase, normalize, tokens_of
 from ..plans.storage import dense_ids
-from .tokens import sentence_arrays, sentences
+from .tokens import sentences
 
 
 def number_sentences(sents: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -18,13 +18,14 @@ def number_sentences(sents: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def build_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", lower: bool = False, remove_accents: bool = False) -> DataFrame:
-    """sent_id, key, sent, tokens."""
-    return number_sentences(sentence_arrays(docs, key, text, lower, remove_accents), key).select("sent_id", key, "sent", "tokens")
+    """sent_id, key, sent, tokens. Texts are dealt into ranges of keys; they are cut into sentences, and these into tokens, after that."""
+    numbered = dense_ids(docs.select(key, text), [key], "sent_id", rows=lambda d: sentences(d, key, text), inner=[key, "sent"], after=lambda d: d.withColumn("tokens", tokens_of(normalize(F.col("text"), lower, remove_accents))).drop("text"))
+    return numbered.select("sent_id", key, "sent", "tokens")
 
 
 def association(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, sent_id) of every sentence."""
-    return number_sentences(sentences(docs, key, text).select(key, "sent"), key).select(key, "sent_id")
+    return dense_ids(docs.select(key, text), [key], "sent_id", rows=lambda d: sentences(d, key, text).select(key, "sent"), inner=[key, "sent"]).select(key, "sent_id")
 
 
 def get_slice(corpus: DataFrame, start: int = 0, stop: int | None = None, step: int = 1) -> DataFrame:
